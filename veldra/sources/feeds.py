@@ -141,9 +141,10 @@ class Manifest:
         return fields
 
     def field(self) -> str:
+        start = self.at
         value = self.quoted() if self.text.startswith('"', self.at) else self.bare()
         if self.at < len(self.text) and self.text[self.at] != "," and (self.one_record or self.text[self.at] not in "\r\n"):
-            raise SyntaxProblem("broken_quoting", self.at)
+            raise SyntaxProblem("broken_quoting", start)  # a quote left open may have run on over later records
         return value
 
     def quoted(self) -> str:
