@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import Scratch
-from . import incremental, match_groups, overlap, splits
+from . import incremental, match_groups, mixing, overlap, pii, splits, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -44,8 +45,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.repeats(_table(spark, d, "image_records"), _table(spark, d, "incoming_images"), Scratch(spark, "p6")).select("incoming_id")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_documents(_table(spark, d, "documents"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(_table(spark, d, "documents"), _table(spark, d, "mix_targets"), Scratch(spark, "p8"))[1]
+
+
+def p8_sample(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(_table(spark, d, "documents"), _table(spark, d, "mix_targets"), Scratch(spark, "p8"))[0]
+
+
+#: Key of the pseudonyms: secret in use, so it is taken from the environment; the one here is for tests.
+PII_KEY = os.environ.get("VELDRA_PII_KEY", "key for tests").encode()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_mentions(_table(spark, d, "documents"), _table(spark, d, "name_lexicon"))
+    return found.select("doc_id", "kind", "mention").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_documents(_table(spark, d, "documents"), _table(spark, d, "name_lexicon"), PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p4_found, p4_report, p6_found)
+    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p4_found, p4_report, p6_found, p7_ids, p8_mix, p8_sample, p9_found, p9_redacted)
 }
 
 # Stand-ins and split words as in functions.normal, letters and digits only.
