@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import hamming
 from ..skew import hot_lookup
 from ..storage import Scratch
+from ..vocab import SPLITS
 
 
 def exact_duplicates(records: DataFrame, digest: str, split: str) -> DataFrame:
@@ -87,27 +91,31 @@ def greedy_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.7, 0
     """``(key, n, split)`` of groups ``(key, n)``: in the order of a keyed hash, each whole group goes to train if it
     fits, else to valid if it fits, else to test; what fits nowhere goes where there is room at all.
 
-    The order matters and a skipped group takes no room, so this is one fold over the list of groups; it is meant for
-    tables of groups of up to some millions. ``veldra.llm`` has a split without such a bound.
+    The order matters and a skipped group takes no room, so the groups (not their rows) pass one task as a sorted stream
+    that keeps three sums and nothing else. ``veldra.llm`` has a split without any such pass.
     """
     if abs(sum(ratios) - 1) > 1e-5:
         raise ValueError("ratios must sum to 1")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    room = (int(total * ratios[0]), int(total * ratios[1]))
+    room = (*room, total - sum(room))
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string")), 256)
-    one = groups.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("key"), F.col("n").cast("bigint").alias("n")))).alias("g"), F.sum("n").alias("total"))
-    t, v = F.floor(F.col("total") * ratios[0]), F.floor(F.col("total") * ratios[1])
-    e = F.col("total") - t - v
-    item = "array<struct<key:{0},n:bigint,split:string>>".format(groups.schema["key"].dataType.simpleString())
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("a"), zero.alias("b"), zero.alias("c"), F.array().cast(item).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        train = (s["a"] + x["n"] <= t) | ((s["b"] >= v) & (s["c"] >= e))
-        valid = ~train & ((s["b"] + x["n"] <= v) | (s["c"] >= e))
-        name = F.when(train, "train").when(valid, "valid").otherwise("test")
-        add = lambda on, c: s[c] + F.when(on, x["n"]).otherwise(zero)
-        return F.struct(add(train, "a").alias("a"), add(valid, "b").alias("b"), add(~train & ~valid, "c").alias("c"), F.concat(s["out"], F.array(F.struct(x["key"].alias("key"), x["n"].alias("n"), name.alias("split")))).alias("out"))
-
-    return one.select(F.explode(F.aggregate("g", start, step, lambda s: s["out"])).alias("x")).select("x.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = [0, 0, 0]
+        for b in batches:
+            names = []
+            for n in b.column(1).to_pylist():
+                if used[0] + n <= room[0] or (used[1] >= room[1] and used[2] >= room[2]):
+                    to = 0
+                else:
+                    to = 1 if used[1] + n <= room[1] or used[2] >= room[2] else 2
+                used[to] += n
+                names.append(SPLITS[to])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string())], names=["key", "n", "split"])
+
+    stream = groups.select("key", F.col("n").cast("bigint").alias("n"), order.alias("o")).repartition(1).sortWithinPartitions("o")
+    return stream.select("key", "n").mapInArrow(run, f"key {groups.schema['key'].dataType.simpleString()}, n BIGINT, split STRING")
 
 
 def manifest(records: DataFrame, groups: DataFrame, scratch: Scratch, key: str = "group_id") -> DataFrame:
