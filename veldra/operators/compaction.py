@@ -106,16 +106,15 @@ def bundles(files: DataFrame, target_bytes: int = TARGET_BYTES, fmt: str = "line
     a line break between members where one lacks it) or zstd (one frame per member). ``header``: members begin
     with a header line, kept once per bundle.
 
-    The task count follows from the bytes in all, so each task fills several bundles, and a task holds one bundle.
-    An empty listing gives no bundle.
+    Contents move once: copies of a member meet before the shuffle (partial aggregation), and the shuffled partitions
+    are merged without another shuffle until each task fills several bundles. A task holds one bundle at a time. An
+    empty listing gives no bundle.
     """
     if fmt not in ("lines", "zstd"):
         raise ValueError("fmt is lines or zstd")
-    m = list_members(files)
-    one = m.groupBy("kind", "place", "digest").agg(F.any_value("content").alias("content"))
+    one = list_members(files).groupBy("kind", "place", "digest").agg(F.any_value("content").alias("content"))
     total = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    tasks = max(1, min(100_000, round(total / (4 * target_bytes))))
-    packed = one.repartitionByRange(tasks, "kind", "place", "digest").sortWithinPartitions("kind", "place", "digest")
+    packed = one.coalesce(max(1, total // (4 * target_bytes))).sortWithinPartitions("kind", "place", "digest")
     return packed.select("kind", "place", "digest", "content").mapInArrow(_packer(target_bytes, fmt, header), BUNDLE)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions.normal import name_key, place_key, sha_key, split_name
-from ..operators import documents, grouping, inventory, labels, metrics, pairing, queues, statistics
+from ..operators import conversion, documents, grouping, inventory, labels, metrics, pairing, queues, statistics, synthetic
 from ..storage import Scratch
 from ..vocab import ALPHABET, CLASS_MAP, DETECTOR, FIELDS, SAMPLE_SOURCES, SPLITS
 
@@ -744,3 +744,81 @@ def sample_rejects(s, d):
     bad = lambda test, code: F.when(F.coalesce(test, lit(True)), code)
     codes = F.filter(F.array(bad(F.trim(c("text")) == "", "empty_text"), bad(~c("source").isin(SAMPLE_SOURCES), "invalid_source"), bad(~c("split").isin(SPLITS), "invalid_split")), lambda x: x.isNotNull())
     return t(s, d, "recognition_samples").select("sample_id", codes.alias("p")).where(F.size("p") > 0).select("sample_id", F.array_join("p", ",").alias("problems"))
+
+
+# ---- conversion, candidates, batches, reports
+
+
+def _map(s, d):
+    return s.createDataFrame(list(CLASS_MAP["aadhaar"].items()), "class_id BIGINT, target INT")
+
+
+@query(_LINES + f""", j AS (SELECT c.label_path, NOT kept OR m.class_id IS NULL AS bad, m.target FROM c LEFT JOIN (VALUES {_MAP}) AS m(class_id, target) ON m.class_id = c.class_id),
+    g AS (SELECT label_path, NOT bool_or(bad) AS ok, count(*) FILTER (NOT bad AND target IS NOT NULL) AS f, count(*) FILTER (NOT bad AND target IS NULL) AS x FROM j GROUP BY label_path)
+    SELECT label_path, ok, CASE WHEN ok THEN f ELSE 0 END AS n_fields, CASE WHEN ok THEN x ELSE 0 END AS n_excluded FROM g""")
+def converted_files(s, d):
+    return conversion.convert_files(_checked(s, d), _map(s, d)).drop("fields")
+
+
+_SIDE = "least(CAST({f} AS DOUBLE), ({c} + {s} / 2) * {f}) - greatest(0.0, ({c} - {s} / 2) * {f})"
+
+
+@query(_LINES + f""", i AS (SELECT label_path, max(width) AS width, max(height) AS height FROM image_records WHERE label_path IS NOT NULL GROUP BY label_path), n AS (SELECT * FROM (VALUES {_DET}) AS v(f, id)),
+    k AS (SELECT c.*, i.label_path IS NOT NULL AS seen, width, height, f AS field FROM c LEFT JOIN i USING (label_path) LEFT JOIN n ON id = class_id WHERE kept),
+    r AS (SELECT field, CASE WHEN NOT seen THEN 'missing_image' WHEN field IS NULL THEN 'unknown_class' WHEN box AND ({_SIDE.format(c="v[2]", s="v[4]", f="width")} < 2 OR {_SIDE.format(c="v[3]", s="v[5]", f="height")} < 2) THEN 'degenerate_box' END AS reason FROM k)
+    SELECT reason, CASE WHEN reason IS NULL THEN field END AS field, count(*) AS n FROM r GROUP BY ALL""")
+def candidate_reasons(s, d):
+    i = t(s, d, "image_records").where("label_path is not null").groupBy("label_path").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    names = F.create_map(*[x for n, f in enumerate(DETECTOR) for x in (lit(n).cast("bigint"), lit(f))])
+    k = conversion.candidates(_checked(s, d), i, names)
+    return k.groupBy("reason", F.when(c("reason").isNull(), c("field")).alias("field")).agg(F.count("*").alias("n"))
+
+
+@query(_LINES + """, p AS (SELECT label_path, class_id, count(*) AS n FROM c WHERE kept GROUP BY ALL) SELECT label_path, string_agg(class_id || CASE WHEN n > 1 THEN 'x' || n ELSE '' END, ', ' ORDER BY class_id) AS caption FROM p GROUP BY label_path""")
+def file_captions(s, d):
+    return conversion.captions(_checked(s, d))
+
+
+@query("""SELECT (sample_id - 1) // 32 AS batch, string_agg(CASE WHEN text <> '' THEN text END, '' ORDER BY sample_id, created_at) AS chars, CAST(sum(length(text)) AS BIGINT) AS n FROM (SELECT DISTINCT sample_id, max(text) AS text, max(created_at) AS created_at FROM recognition_samples GROUP BY sample_id) WHERE text IS NOT NULL GROUP BY 1""")
+def collated_batches(s, d):
+    r = t(s, d, "recognition_samples").groupBy("sample_id").agg(F.max("text").alias("text")).where("text is not null")
+    k = conversion.collate(r.select(F.floor((c("sample_id") - 1) / 32).alias("batch"), "sample_id", F.filter(F.split("text", ""), lambda x: x != "").alias("chars")), "batch", "sample_id", "chars")
+    return k.select("batch", F.when(F.size("targets") > 0, F.array_join("targets", "")).alias("chars"), F.aggregate("lengths", lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+
+
+@query(f"""WITH r AS (SELECT group_id, split, sha, label_path FROM (SELECT DISTINCT image_id, group_id, {_SPLIT} AS split, {_SHA} AS sha, label_path FROM image_records))
+    SELECT 'groups_in_several_splits' AS check, count(*) AS n FROM (SELECT group_id FROM r WHERE group_id IS NOT NULL GROUP BY group_id HAVING count(DISTINCT split) > 1) UNION ALL
+    SELECT 'digests_in_several_splits', count(*) FROM (SELECT sha FROM r WHERE sha IS NOT NULL GROUP BY sha HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'records_without_label', count(*) FROM r WHERE label_path IS NULL""".replace("AS check", 'AS "check"'))
+def split_report(s, d):
+    r = t(s, d, "image_records").select("image_id", "group_id", split_name(c("raw_split")).alias("split"), sha_key(c("sha256")).alias("sha"), "label_path").distinct()
+    return conversion.split_report(r, "group_id", "split", "sha", "label_path")
+
+
+@query("""SELECT o_orderkey, to_json({'status': CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END, 'items': list({'line': l_linenumber, 'part': l_partkey} ORDER BY l_linenumber, l_partkey)})::VARCHAR AS document
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def json_documents(s, d):
+    items = t(s, d, "lineitem").select(c("l_orderkey").alias("o_orderkey"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"))
+    n = documents.nest(t(s, d, "orders").select("o_orderkey", F.when(c("o_orderkey") % 3 != 0, c("o_orderstatus")).alias("status")), items, "o_orderkey", ["line"]).where(F.size("items") > 0)
+    return n.select("o_orderkey", documents.to_json(F.struct("status", "items")).alias("document"))
+
+
+@query("SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY 1, 2")
+def index_rollup(s, d):
+    return t(s, d, "documents").groupBy(F.coalesce("source", lit("")).alias("source"), F.coalesce("lang", lit("")).alias("lang")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, CAST(sum(CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS BIGINT) AS squares, count(*) FILTER (l_quantity < l_linenumber) AS narrow,
+    count(*) FILTER (l_quantity >= l_linenumber AND l_quantity <= 4 * l_linenumber) AS usual, count(*) FILTER (l_quantity > 4 * l_linenumber) AS wide FROM lineitem GROUP BY l_returnflag""")
+def position_spread(s, d):
+    q, n = c("l_quantity").cast("bigint"), c("l_linenumber")
+    k = lambda x: F.count(F.when(x, 1))
+    return t(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(q).alias("total"), F.sum(q * q).alias("squares"), k(q < n).alias("narrow"), k((q >= n) & (q <= 4 * n)).alias("usual"), k(q > 4 * n).alias("wide"))
+
+
+@query()
+def synthetic_samples(s, d):
+    """As many records as there are rows of customers, names from the lexicon (a fixed table)."""
+    words = t(s, d, "name_lexicon").select("token", "kind").where("token rlike '^[A-Za-z]+$'").orderBy("token").collect()
+    by = lambda k: [r.token for r in words if r.kind == k]
+    people = synthetic.records(s, t(s, d, "customer").count(), by("given"), by("surname"))
+    return synthetic.samples(people, ["name", "fathers_name", "date_of_birth", "gender", "aadhaar_number", "pan_number"])
