@@ -69,3 +69,11 @@ def test_hashes(spark):
     assert col(spark, G.average_hash, [[0] * 63 + [1], [5] * 64], "array<int>") == [1, 0]
     assert col(spark, G.difference_hash, [[9, 8, 7, 6, 5, 4, 3, 2, 1] * 8], "array<int>") == [-1]
     assert spark.range(1).select(G.hamming(F.lit(10), F.lit(9)).alias("x")).first().x == 2
+
+
+def test_recognised_texts(spark):
+    steps = [[[-3.0, -0.5, -2.0], [-3.0, -0.5, -2.0], [-0.1, -9.0, -9.0], [-3.0, -0.5, -2.0]], [[-0.1, -3.0, -3.0]], []]
+    assert col(spark, X.greedy_path, steps, "array<array<double>>") == [[1, 1], [], []]
+    got = col(spark, X.path_confidence, steps, "array<array<double>>")
+    assert got[0] == pytest.approx(2.718281828 ** (-1.6 / 4)) and got[1:] == [0.0, 0.0]
+    assert [tuple(x) for x in col(spark, lambda c: X.clean_result(c, F.lit(0.5)), [" a ", " ", None])] == [("a", 0.5), ("", 0.0), (None, 0.0)]

@@ -103,6 +103,17 @@ def test_kernels():
         kernels.fit_line(a, height=8, pad_y=4)
 
 
+def test_augmented_lines(spark):
+    a = np.full((48, 120), 255, np.uint8)
+    a[15:35, 10:100] = 10
+    df = spark.createDataFrame([(i, "abc", 48, 120, bytearray(a.tobytes())) for i in range(12)], "index BIGINT, text STRING, height INT, width INT, pixels BINARY")
+    one = {r["index"]: bytes(r.pixels) for r in kernels.augment_lines(df, 1, 0).collect()}
+    assert one == {r["index"]: bytes(r.pixels) for r in kernels.augment_lines(df.repartition(5), 1, 0).collect()} and len(set(one.values())) > 1
+    for k in (kernels.small_affine(), kernels.color_tint(), kernels.glyph_scale(text="abc")):
+        assert k(a, kernels.generator(1, 1, 1)).dtype == np.uint8
+    assert kernels.augment_lines(df.limit(0), 1, 0).count() == 0
+
+
 def test_extension_points(spark):
     good = spark.createDataFrame([(1, "f", 1, "0 .5 .5 .1 .1")], "row_id INT, label_path STRING, line INT, raw STRING")
     assert extension.inspector_for(good).inspect(good).first().kept and extension.inspector_for(good.withColumn("raw", F.lit("x"))) is None

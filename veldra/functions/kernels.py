@@ -3,9 +3,11 @@ by (seed, epoch, index), so a row's result depends on its key alone and not on i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from ..sources.images import shrink
 
@@ -119,6 +121,80 @@ def downsample(low: float = 0.5, high: float = 0.9) -> Kernel:
     return run
 
 
+def small_affine(shear: float = 0.15, degrees: float = 2.0) -> Kernel:
+    """Shear and rotation on a canvas grown to hold the result, nearest pixels."""
+
+    def run(a: np.ndarray, r: np.random.Generator) -> np.ndarray:
+        k, w = r.uniform(-shear, shear), np.deg2rad(r.uniform(-degrees, degrees))
+        m = np.array([[np.cos(w), -np.sin(w)], [np.sin(w), np.cos(w)]]) @ np.array([[1, k], [0, 1]])
+        h, n = a.shape
+        at = np.array([[0, n, 0, n], [0, 0, h, h]]) - np.array([[n / 2], [h / 2]])
+        ext = np.abs(m @ at).max(axis=1) * 2
+        width, height = (max(1, int(np.ceil(x))) for x in ext)
+        ys, xs = np.mgrid[0:height, 0:width]
+        back = np.linalg.inv(m) @ np.stack([xs.ravel() - width / 2, ys.ravel() - height / 2])
+        x, y = np.rint(back[0] + n / 2 - 0.5).astype(int), np.rint(back[1] + h / 2 - 0.5).astype(int)
+        inside = (x >= 0) & (x < n) & (y >= 0) & (y < h)
+        out = np.full(height * width, 255, np.uint8)
+        out[inside] = a[y[inside], x[inside]]
+        return out.reshape(height, width)
+
+    return run
+
+
+def color_tint(strength: float = 0.15) -> Kernel:
+    """A gain for each of three channels, back to grey by luminance."""
+    return lambda a, r: _u8(a * float(r.uniform(1 - strength, 1 + strength, 3) @ [0.299, 0.587, 0.114]))
+
+
+def glyph_scale(low: float = 0.6, high: float = 0.9, text: str = "", least_px: float = 6.0) -> Kernel:
+    """Ink made smaller on the same canvas, but not below ``least_px`` pixels a character."""
+
+    def run(a: np.ndarray, r: np.random.Generator) -> np.ndarray:
+        rows, dark = ink_rows(a), (a < 128).any(axis=0)
+        if rows is None:
+            return a
+        cols = np.flatnonzero(dark)
+        x0, x1 = int(cols[0]), int(cols[-1]) + 1
+        f = r.uniform(low, high)
+        if text:
+            f = max(f, min(1.0, least_px * len(text) / (x1 - x0)))
+        small = resize(a[rows[0] : rows[1], x0:x1], max(1, round((rows[1] - rows[0]) * f)), max(1, round((x1 - x0) * f)))
+        out = np.full_like(a, 255)
+        top = rows[0] + ((rows[1] - rows[0]) - small.shape[0]) // 2
+        out[top : top + small.shape[0], x0 : x0 + small.shape[1]] = small
+        return out
+
+    return run
+
+
+def augmentation(text: str = "") -> Kernel:
+    """All steps in their fixed order with moderate probabilities."""
+    return compose(
+        [
+            (0.5, horizontal_scale()), (0.5, small_affine()), (0.4, margin_jitter()), (0.15, edge_line()), (0.3, glyph_scale(text=text)), (0.5, contrast_remap()), (0.4, illumination()), (0.3, paper_texture()), (0.3, color_tint()), (0.3, downsample()), (0.3, blur()), (0.3, noise()),
+        ]
+    )
+
+
+def augment_lines(lines: DataFrame, seed: int, epoch: int) -> DataFrame:
+    """``(index, height, width, pixels)`` of rows ``(index, text, height, width, pixels)``, each augmented by a generator
+    keyed by (seed, epoch, index) and fitted to the line height again. Arrow batches, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, text, h, w, px in zip(*(b.column(k).to_pylist() for k in range(5))):
+                a = np.frombuffer(px, np.uint8).reshape(h, w)
+                a = fit_line(augmentation(text or "")(a, generator(seed, epoch, i)))
+                out.append((i, a.shape[0], a.shape[1], a.tobytes()))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["index", "height", "width", "pixels"])
+
+    return lines.select("index", "text", "height", "width", "pixels").mapInArrow(run, "index BIGINT, height INT, width INT, pixels BINARY")
+
+
 def compose(steps: Iterable[tuple[float, Kernel]]) -> Kernel:
     """Steps in a fixed order, each taken with its probability. Every step draws its own stream, so leaving one out
     doesn't change what the others do."""

@@ -147,3 +147,26 @@ def ctc_collapse(ids: Column) -> Column:
     return F.filter(kept, lambda v: v != 0)
 
 
+
+
+def clean_result(text: Column, confidence: Column) -> Column:
+    """A recogniser's result with outer white space off; a blank text has confidence 0."""
+    s = strip(text)
+    return F.struct(s.alias("text"), F.when(F.coalesce(s, F.lit("")) == "", 0.0).otherwise(confidence).alias("confidence"))
+
+
+def greedy_path(steps: Column) -> Column:
+    """Ids of the best class of each step (the first of equals), collapsed; ``steps`` is an array of arrays of log
+    probabilities, class 0 the blank."""
+    return ctc_collapse(F.transform(steps, lambda p: (F.array_position(p, F.array_max(p)) - 1).cast("int")))
+
+
+def path_confidence(steps: Column) -> Column:
+    """Geometric mean of the best probabilities of the steps; 0 if the path decodes to nothing."""
+    total = F.aggregate(steps, F.lit(0.0), lambda a, p: a + F.array_max(p))
+    return F.when(F.size(greedy_path(steps)) > 0, F.exp(total / F.size(steps))).otherwise(0.0)
+
+
+def merged_region(region: Column, result: Column) -> Column:
+    """One struct of a region and its reading: both confidences by name, the reading's as ``confidence``."""
+    return F.struct(region["class_id"].alias("class_id"), region["class_name"].alias("class_name"), result["text"].alias("text"), result["confidence"].alias("confidence"), region["confidence"].alias("detection_confidence"), result["confidence"].alias("recognition_confidence"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions.normal import name_key, place_key, sha_key, split_name
-from ..operators import conversion, documents, grouping, inventory, labels, metrics, pairing, queues, statistics, synthetic
+from ..operators import audit, conversion, documents, grouping, inventory, labels, metrics, pairing, queues, statistics, synthetic
 from ..storage import Scratch
 from ..vocab import ALPHABET, CLASS_MAP, DETECTOR, FIELDS, SAMPLE_SOURCES, SPLITS
 
@@ -822,3 +822,32 @@ def synthetic_samples(s, d):
     by = lambda k: [r.token for r in words if r.kind == k]
     people = synthetic.records(s, t(s, d, "customer").count(), by("given"), by("surname"))
     return synthetic.samples(people, ["name", "fathers_name", "date_of_birth", "gender", "aadhaar_number", "pan_number"])
+
+
+@query(_LINES + f""", im AS (SELECT image_id, rel_path, split, sha, width, height, label_path, regexp_replace(regexp_extract(rel_path, '[^/]*$'), '\\.[^.]*$', '') AS stem FROM ({_IMAGES})),
+    lf AS (SELECT string_split(p, '/')[1] AS split, regexp_replace(regexp_extract(p, '[^/]*$'), '\\.[^.]*$', '') AS stem FROM (SELECT DISTINCT {_PLACE} AS p FROM small_files WHERE kind = 'label') WHERE string_split(p, '/')[1] IN ('train', 'valid', 'test')),
+    z AS (SELECT label_path, max(width) AS w, max(height) AS h FROM im WHERE label_path IS NOT NULL AND width > 0 GROUP BY label_path),
+    x AS (SELECT unnest([CASE WHEN dup THEN 'duplicate_annotation' END, CASE WHEN v IS NULL THEN 'malformed_line' END, CASE WHEN v IS NOT NULL AND NOT loads THEN 'invalid_class_id' END, CASE WHEN flat THEN 'zero_or_negative_size' END,
+      CASE WHEN (box OR poly) AND outside THEN 'coord_out_of_range' END, CASE WHEN edge THEN 'bbox_outside_image' END, CASE WHEN thin THEN 'zero_area_polygon' END, CASE WHEN loads AND NOT box AND NOT poly THEN 'invalid_token_count' END]) AS code FROM c),
+    o AS (SELECT code FROM x WHERE code IS NOT NULL
+      UNION ALL SELECT 'image_without_label' FROM (SELECT split, stem FROM im WHERE split IS NOT NULL EXCEPT SELECT split, stem FROM lf) UNION ALL SELECT 'label_without_image' FROM (SELECT split, stem FROM lf EXCEPT SELECT split, stem FROM im WHERE split IS NOT NULL)
+      UNION ALL SELECT 'corrupted_image' FROM im WHERE coalesce(width, 0) <= 0 OR coalesce(height, 0) <= 0 UNION ALL SELECT 'exact_duplicate_across_splits' FROM (SELECT sha FROM im WHERE sha IS NOT NULL GROUP BY sha HAVING count(DISTINCT split) > 1)
+      UNION ALL SELECT 'case_insensitive_name_collision' FROM (SELECT 1 FROM (SELECT DISTINCT rel_path FROM im) GROUP BY lower(rel_path) HAVING count(*) > 1)
+      UNION ALL SELECT 'tiny_box' FROM c JOIN z USING (label_path) WHERE box AND least(v[4] * w, v[5] * h) > 0 AND least(v[4] * w, v[5] * h) < 4)
+    SELECT code, count(*) AS n FROM o GROUP BY code""")
+def audit_issues(s, d):
+    i = images(s, d).withColumn("stem", X.stem_of(c("rel_path")))
+    return audit.issue_summary(audit.audit(i, _stems(s, d)[1], _checked(s, d))["issues"])
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(range(0, 8), lambda k: list_position(embedding[k * 8 + 1:k * 8 + 8], list_max(embedding[k * 8 + 1:k * 8 + 8])) - 1) AS p FROM embeddings),
+    k AS (SELECT vec_id, list_filter(range(1, 9), lambda i: p[i] <> 0 AND (i = 1 OR p[i] <> p[greatest(i - 1, 1)])) AS k, p FROM p) SELECT vec_id, array_to_string(list_transform(k, lambda i: p[i]), ' ') AS ids FROM k""")
+def decoded_paths(s, d):
+    steps = F.transform(F.sequence(lit(0), lit(7)), lambda k: F.slice(c("embedding"), k * 8 + 1, lit(8)))
+    return t(s, d, "embeddings").select("vec_id", F.array_join(F.transform(X.greedy_path(steps), lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query(f"""SELECT sample_id, {_WS} AS text, CASE WHEN coalesce({_WS}, '') = '' THEN CAST(0 AS DOUBLE) ELSE CAST(sample_id % 8 AS DOUBLE) / 8 END AS confidence FROM recognition_samples""")
+def cleaned_results(s, d):
+    r = X.clean_result(c("text"), (c("sample_id") % 8).cast("double") / 8)
+    return t(s, d, "recognition_samples").select("sample_id", r["text"].alias("text"), r["confidence"].alias("confidence"))
