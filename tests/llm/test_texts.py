@@ -80,7 +80,7 @@ def names():
         ("cc kiru.verr+x@mail.a-b.example. Next", [("email", "kiru.verr+x@mail.a-b.example")]), ("to a_b [at] post [dot] x [dot] test!", [("email", "a_b [at] post [dot] x [dot] test")]), ("a1 @ b.test pe", [("email", "a1 @ b.test")]),
         ("about v8@2x assets, @tray_bot", []), ("call (+91) 528 421 3673, or +1 (204) 555-0131.", [("phone", "(+91) 528 421 3673"), ("phone", "+1 (204) 555-0131")]), ("(+915312592495);", [("phone", "+915312592495")]),
         ("tel ०५०६४२ ०३५४१", [("phone", "०५०६४२ ०३५४१")]), ("Help 5533983675\nRows 3", [("phone", "5533983675")]), ("at epoch 1724052581. row 1730566383 of the trace", []), ("Job a-1 wrote 810299399441 bytes", []),
-        ("No. 9707-1607-5344, 3292 1305 6314", [("id_number", "9707-1607-5344"), ("id_number", "3292 1305 6314")]), ("XXXX XXXX 3172 1234567890123456789", []), ("Rig serial SVGPJ1836S", []), ("Format hint: AAAPA0000A", []),
+        ("No. 9707-1607-5344, 3292 1305 6314", [("id_number", "9707-1607-5344"), ("id_number", "3292 1305 6314")]), ("XXXX XXXX 3172 1234567890123456789", []), ("Nurnber: 2806 3654 6687\n1063 x", [("id_number", "2806 3654 6687")]), ("1234 5678 9012 3456", []), ("Rig serial SVGPJ1836S", []), ("Format hint: AAAPA0000A", []),
         ("rjmpv4682l and QX08 20183152005; ZK-08-1995-1568249", [("id_number", "rjmpv4682l"), ("id_number", "QX08 20183152005"), ("id_number", "ZK-08-1995-1568249")]),
         ("at H.No. 169/4, A Road, near Orind Tank,\nX - 848554.", [("address", "H.No. 169/4, A Road, near Orind Tank,\nX - 848554")]), ("Unit 2, Dock Lane Annex. Ghar ka pata 152 Shevon Galli, V 420209 hai", [("address", "152 Shevon Galli, V 420209")]),
         ("Mr Tarenka B. Oldadi-Verrapuro (", [("person", "Tarenka B. Oldadi-Verrapuro")]), ("S/O K. PELLADI\n", [("person", "K. PELLADI")]), ("name reads Veloshi Oldotrum. A stamp", [("person", "Veloshi Oldotrum")]),

@@ -42,7 +42,7 @@ _PIN = rf"(?:PIN(?:\s?code)?\s?[:\-]?\s?|पिन\s?[:\-]?\s?)?(?<!{D})[1-9\u09
 ADDRESS = re.compile(rf"(?<![\w/\-.])(?={_START}){_START}\b{_BODY}(?<=[\s,\-–]){_PIN}", re.I)
 _INNER_NUMBER = re.compile(rf"(?<!{D}){D}{{5,}}")
 
-_B, _E = rf"(?<![\w+@.\-/:#])(?<!{D}\s)", rf"(?![\w@/])(?![.\-:]{D})"
+_B, _E = rf"(?<![\w+@.\-/:#])(?<!{D} )", rf"(?![\w@/])(?![.\-:]{D})"
 PHONE = re.compile(
     r"|".join(
         [
@@ -59,7 +59,7 @@ PHONE = re.compile(
         ]
     )
 )
-_IB, _IE = rf"(?<![\w+@\-/#])(?<!{D}[.])", rf"(?![\w@/])(?![.\-]{D})(?!\s{D}{{4}}\b)"
+_IB, _IE = rf"(?<![\w+@\-/#])(?<!{D}[.])", rf"(?![\w@/])(?![.\-]{D})(?! {D}{{4}}\b)"
 CARD = re.compile(rf"{_IB}{D}{{4}}(?P<s>[ .\-]?){D}{{4}}(?P=s){D}{{4}}{_IE}")
 ACCOUNT = re.compile(rf"{_IB}[A-Z]{{3}}P[A-Z](?P<s>[ .\-]?){D}{{4}}(?P=s)[A-Z](?![\w@])", re.I)
 LICENCE = re.compile(rf"{_IB}[A-Z]{{2}}[ \-]?{D}{{2}}[ \-]?(?:19|20|१९|२०){D}{{2}}[ \-]?{D}{{7}}(?![\w@])(?!-{D})", re.I)
