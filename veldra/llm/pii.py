@@ -66,6 +66,8 @@ LICENCE = re.compile(rf"{_IB}[A-Z]{{2}}[ \-]?{D}{{2}}[ \-]?(?:19|20|१९|२
 #: What a number isn't personal after or before: serial, job and byte numbers, samples of a format.
 _NOT_BEFORE = re.compile(r"(?:serial(?:\s+(?:no\.?|number))?|\bjob|\bepoch|\brow|\bwrote|\bhint:?|\bformat:?|\btrace|\bseed|\bhash|\bsample:?|\bexport|\bbatch|\bticket|\bchecksum)\s*[:#]?\s*$", re.I)
 _NOT_AFTER = re.compile(r"[ \t]*(?:bytes|of the trace|px|stands for)\b", re.I)
+#: Four digits and a blank before a card number: it is part of a longer one.
+_MORE = re.compile(rf"(?:^|[^\w.\-/]){D}{{4}} $")
 #: A full stop inside an address only abbreviates.
 _SENTENCE = re.compile(r"(?<!\bopp)(?<!\bNo)(?<!\bnr)(?<!\bSt)(?<!\bRd)(?<!नं)[.।]\s", re.I)
 _SAMPLE = re.compile(r"(?:[AXLNP]{5}[ .\-]?(?:9999|0000|1234)[ .\-]?[AXLNPZ])$", re.I)
@@ -184,7 +186,7 @@ def _numbers(text: str, taken: Taken) -> None:
     for kind, pattern in (("id_number", LICENCE), ("id_number", ACCOUNT), ("phone", PHONE), ("id_number", CARD)):
         for m in pattern.finditer(text):
             a, b = m.span()
-            if not taken.free(a, b) or _NOT_BEFORE.search(text[max(0, a - 24) : a]) or _NOT_AFTER.match(text, b) or (pattern is ACCOUNT and _SAMPLE.match(m[0])):
+            if not taken.free(a, b) or _NOT_BEFORE.search(text[max(0, a - 24) : a]) or _NOT_AFTER.match(text, b) or (pattern is ACCOUNT and _SAMPLE.match(m[0])) or (pattern is CARD and _MORE.search(text[max(0, a - 6) : a])):
                 continue
             taken.add(a, b, kind)
 
