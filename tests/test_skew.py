@@ -21,4 +21,7 @@ def test_scratch_tables(spark):
     a = s.keep(spark.range(3).toDF("a"), "x")
     b = s.keep(a.where("a > 0"), "x", replaces=a)
     assert b.count() == 2 and scratch_root(spark)
+    c = s.keep(b, "x")
+    s.only(c)
+    assert c.count() == 2 and s._paths == {c._veldra_scratch[1]}
     assert s.keep(spark.range(0).toDF("a"), "empty").count() == 0

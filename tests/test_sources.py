@@ -35,6 +35,15 @@ def test_png_round_trip_for_each_filter():
             assert (images.decode_png(png(a, kind)).reshape(shape) == a).all()
 
 
+def test_png_writer(spark):
+    a = np.arange(60, dtype=np.uint8).reshape(5, 12)
+    assert (images.decode_png(images.encode_png(a))[..., 0] == a).all() and images.decode_png(images.encode_png(np.stack([a] * 3, 2))).shape == (5, 12, 3)
+    df = spark.createDataFrame([(1, 5, 12, bytearray(a.tobytes()))], "index BIGINT, height INT, width INT, pixels BINARY")
+    assert bytes(images.encode_lines(df).first().content) == images.encode_png(a)
+    with pytest.raises(ValueError):
+        images.encode_png(np.zeros((2, 2, 4)))
+
+
 def test_facts_of_images(spark):
     ramp = np.tile(np.arange(200, 0, -2, dtype=np.uint8), (50, 1))
     jpeg = b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x10\x00\x20\x03" + b"\0" * 20

@@ -46,7 +46,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_root(spark)}/veldra-{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self._paths: set[str] = set()
         atexit.register(self._forget)
 
     def path(self, tag: str) -> str:
@@ -56,7 +56,7 @@ class Scratch:
         path = self.path(tag)
         df.write.option("compression", "lz4").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths.add(path)
         out._veldra_scratch = (self, path)  # a table lives as long as something refers to it
         if replaces is not None:
             self.drop(replaces)
@@ -64,8 +64,16 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         at = getattr(df, "_veldra_scratch", None)
-        if at:
+        if at and at[1] in self._paths:
             delete_path(self.spark, at[1])
+            self._paths.discard(at[1])
+
+    def only(self, *kept: DataFrame) -> None:
+        """Deletes all tables of this run but ``kept``; for the end of an operator whose result is one of them."""
+        stay = {df._veldra_scratch[1] for df in kept}
+        for path in self._paths - stay:
+            delete_path(self.spark, path)
+        self._paths &= stay
 
     def _forget(self) -> None:
         try:
