@@ -33,14 +33,20 @@ def match_edges(images: DataFrame, pairs: DataFrame, groups: DataFrame, scratch:
     return said.unionByName(listed)
 
 
+def _components(images: DataFrame, pairs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    out = scratch.keep(peeled_components(match_edges(images, pairs, groups, scratch), scratch), "components")
+    scratch.only(out)
+    return out
+
+
 def consolidate(images: DataFrame, pairs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """``(image_id, group_key)``: every image once, with the smallest id tied to it directly or through others
     (itself if nothing is tied to it)."""
-    comps = scratch.keep(peeled_components(match_edges(images, pairs, groups, scratch), scratch), "components")
+    comps = _components(images, pairs, groups, scratch).withColumnRenamed("id", "image_id")
     known = images.where("image_id is not null").select("image_id").distinct()
-    return known.join(comps.withColumnRenamed("id", "image_id"), "image_id", "left").select("image_id", F.coalesce("component", "image_id").alias("group_key"))
+    return known.join(comps, "image_id", "left").select("image_id", F.coalesce("component", "image_id").alias("group_key"))
 
 
 def tied_images(images: DataFrame, pairs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """``(image_id, group_key)`` of the images that are tied to another image."""
-    return peeled_components(match_edges(images, pairs, groups, scratch), scratch).select(F.col("id").alias("image_id"), F.col("component").alias("group_key"))
+    return _components(images, pairs, groups, scratch).select(F.col("id").alias("image_id"), F.col("component").alias("group_key"))

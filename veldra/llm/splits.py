@@ -41,7 +41,9 @@ def record_components(records: DataFrame, scratch: Scratch, keys: tuple[str, ...
     total, most = uses.agg(F.sum("n"), F.max("n")).first()
     tied = hot_join(first.select("image_id", "v"), uses, "v", "n", total or 0, most).select("image_id", "component")
     alone = rows.select("image_id").distinct().join(first.select("image_id"), "image_id", "left_anti").select("image_id", F.col("image_id").alias("component"))
-    return scratch.keep(tied.unionByName(alone), "components")
+    out = scratch.keep(tied.unionByName(alone), "components")
+    scratch.only(out)
+    return out
 
 
 def assign_splits(components: DataFrame, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
