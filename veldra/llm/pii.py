@@ -44,7 +44,7 @@ _INNER_NUMBER = re.compile(rf"(?<!{D}){D}{{5,}}")
 
 _B, _E = rf"(?<![\w+@.\-/:#])(?<!{D} )", rf"(?![\w@/])(?![.\-:]{D})"
 PHONE = re.compile(
-    r"|".join(
+    rf"(?=[+(]|{D})(?:" + r"|".join(
         [
             rf"(?<![\w+])\(\+{D}{{1,3}}\)\s?{D}{{3,5}}[\s\-]?{D}{{3,5}}(?:[\s\-]?{D}{{3,5}})?{_E}",
             rf"(?<![\w+])\+{D}{{1,3}}\s?\({D}{{2,4}}\)\s?{D}{{3}}[\s\-]?{D}{{4}}{_E}",
@@ -58,6 +58,7 @@ PHONE = re.compile(
             rf"{_B}[0\u0966]?[5-9\u096b-\u096f]{D}{{9}}{_E}",
         ]
     )
+    + ")"
 )
 _IB, _IE = rf"(?<![\w+@\-/#])(?<!{D}[.])", rf"(?![\w@/])(?![.\-]{D})(?! {D}{{4}}\b)"
 CARD = re.compile(rf"{_IB}{D}{{4}}(?P<s>[ .\-]?){D}{{4}}(?P=s){D}{{4}}{_IE}")
@@ -74,7 +75,8 @@ _SAMPLE = re.compile(r"(?:[AXLNP]{5}[ .\-]?(?:9999|0000|1234)[ .\-]?[AXLNPZ])$",
 
 # Words before a person that aren't part of the name.
 _TITLES = {"mr", "mrs", "ms", "dr", "shri", "smt", "sri", "km", "prof", "miss", "श्री", "श्रीमती", "कुमारी", "डॉ"}
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u200c\u200d])*")
+#: A run of letters with their marks: whatever isn't white space, a digit or punctuation.
+_WORD = re.compile(r"[^\s\d_!-/:-@\[-`{-¿×÷।॥ -​‎-⁯⸀-⹿　-〿]+")
 
 
 # Sounds of Devanagari letters; a consonant's own vowel isn't written.
@@ -206,7 +208,7 @@ def _persons(text: str, names: NameParts, taken: Taken) -> None:
         elif glued or (a and text[a - 1].isdigit()) or (b < len(text) and text[b].isdigit()):
             kinds.append(None)
         else:
-            initial = len(w) == 1 and not names._indic(w) and (a == 0 or text[a - 1] in " \n\t(\"“‘.|:,")
+            initial = len(w) == 1 and w.isalpha() and not names._indic(w) and (a == 0 or text[a - 1] in " \n\t(\"“‘.|:,")
             kinds.append(names.of(w) or ("I" if initial else None))
     n, i = len(words), 0
 
