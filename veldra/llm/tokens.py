@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 MEMO = 200_000
 #: Longer pieces are rare and not memoised.
@@ -151,16 +150,6 @@ def _ids_batches(folder: str, name: str, null_ids: tuple[int, ...], empty_ids: t
     return run
 
 
-def _count_batches(folder: str, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, name)
-        for b in batches:
-            n = [len(enc.encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "n_tokens"])
-
-    return run
-
-
 def spread(docs: DataFrame) -> DataFrame:
     """Few large input splits become one task per core at least; otherwise rows stay where they were read."""
     want = docs.sparkSession.sparkContext.defaultParallelism
@@ -174,9 +163,3 @@ def encode_documents(
     tokens in a text are ordinary text. A null text has ``null_ids``, an empty one ``empty_ids``; blank texts are
     encoded as they are. Whole texts are encoded whatever their length. Repeated rows are encoded each."""
     return spread(docs.select("doc_id", "text")).mapInArrow(_ids_batches(folder or vocabulary_folder(), name, tuple(null_ids), tuple(empty_ids)), "doc_id BIGINT, ids ARRAY<INT>")
-
-
-def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """The columns ``keep`` of each row with ``n_tokens``; null and empty texts have 0."""
-    rows = spread(docs.select(*keep, text))
-    return rows.mapInArrow(_count_batches(folder or vocabulary_folder(), name), T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType())]))
