@@ -27,3 +27,13 @@ def test_ellipsized_keeps_every_text(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.short for r in catalogue.ellipsized(spark, str(tmp_path)).collect()}
     assert got == {1: "क" * 14 + "…" + "क" * 15, 2: ("a\tb\nc" * 3)[:14] + "…" + ("a\tb\nc" * 3), 3: "नाम", 4: None, 5: "𝒳" * 30, 6: "x" * 14 + "…" + "x" * 15}
+
+
+def test_field_issues_has_more_documents_in_larger_tables(spark):
+    sql = catalogue.SQL["field_issues"]
+    assert sql.count("sample_id % 40") == 1
+    for d, n in ((SMALL, 15), ("/root/testdata/sf0.01", 150)):
+        got = catalogue.field_issues(spark, d)
+        assert rows(got) == whole(sql.replace("sample_id % 40", "(sample_id - 1) // 4"), "recognition_samples", d)
+        kinds = {r.issue: r.n for r in got.groupBy("issue").agg(F.countDistinct("doc_id").alias("n")).collect()}
+        assert kinds["missing_field"] >= n / 2 and set(kinds) == {"missing_field", "unexpected_field", "duplicate_field"}
