@@ -1,7 +1,9 @@
 import datetime
 import hashlib
 
+import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from veldra.operators import compaction
 
@@ -56,3 +58,17 @@ def test_written_files(spark, tmp_path):
     got = compaction.write_bundles(b, str(tmp_path)).collect()
     assert all(r.ok for r in got) and len(list(tmp_path.iterdir())) == len(got)
     assert compaction.bundles(files(spark).limit(0)).count() == 0
+
+
+def test_pairs_come_of_the_bundles(spark, tmp_path, monkeypatch):
+    from veldra.plans import core_queries
+
+    f = files(spark).union(spark.createDataFrame([(9, "sample", "a/b.txt", 3, "x 1", T[3], None)], SCHEMA))
+    f.write.parquet(f"{tmp_path}/small_files.parquet")
+    made, bundles = [], compaction.bundles
+    monkeypatch.setattr(compaction, "bundles", lambda *a: made.append(a) or bundles(*a))
+    got = {tuple(r) for r in core_queries.p5_found(spark, str(tmp_path)).collect()}
+    assert len(made) == 1 and got == {(1, 2), (1, 9), (2, 9)} == {tuple(r) for r in compaction.relisted_pairs(f).collect()}
+    broken = bundles(f).withColumn("valid", F.lit(False))
+    with pytest.raises(Exception, match="invalid bundle"):
+        compaction.bundled_pairs(f, broken).collect()

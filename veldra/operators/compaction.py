@@ -118,13 +118,28 @@ def bundles(files: DataFrame, target_bytes: int = TARGET_BYTES, fmt: str = "line
     return packed.select("kind", "place", "digest", "content").mapInArrow(_packer(target_bytes, fmt, header), BUNDLE)
 
 
+def _pointed(files: DataFrame, packed: DataFrame) -> DataFrame:
+    """Each listed row with the member that holds it."""
+    m = list_members(files).select("file_id", "kind", "place", "digest", "modified_at")
+    at = packed.select("kind", "bundle", "valid", F.explode("members").alias("m")).select("kind", "bundle", "valid", "m.place", "m.digest", "m.start", "m.length")
+    return m.join(at, ["kind", "place", "digest"])
+
+
 def index(files: DataFrame, packed: DataFrame) -> DataFrame:
     """``(file_id, place, bundle, start, length, latest)``: one row per listed row, the member that holds it.
     ``latest``: no later version of the place is listed (by ``modified_at``, then ``file_id``)."""
-    m = list_members(files).select("file_id", "kind", "place", "digest", "modified_at")
-    at = packed.select("kind", "bundle", F.explode("members").alias("m")).select("kind", "bundle", "m.place", "m.digest", "m.start", "m.length")
-    last = m.groupBy("kind", "place").agg(F.max(F.struct("modified_at", "file_id", "digest"))["digest"].alias("last"))
-    return m.join(at, ["kind", "place", "digest"]).join(last, ["kind", "place"]).select("file_id", "place", "bundle", "start", "length", (F.col("digest") == F.col("last")).alias("latest"))
+    m = _pointed(files, packed)
+    last = list_members(files).groupBy("kind", "place").agg(F.max(F.struct("modified_at", "file_id", "digest"))["digest"].alias("last"))
+    return m.join(last, ["kind", "place"]).select("file_id", "place", "bundle", "start", "length", (F.col("digest") == F.col("last")).alias("latest"))
+
+
+def bundled_pairs(files: DataFrame, packed: DataFrame) -> DataFrame:
+    """``(file_id_a, file_id_b)``, a < b, of rows that the bundles hold by members of the same place and digest: the same
+    member, or one of each kind where a place is listed under several. Raises if a bundle didn't pass its validation."""
+    valid = F.when(F.col("valid"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("invalid bundle "), F.col("bundle"))))
+    m = _pointed(files, packed).select("file_id", "place", valid.alias("digest"))
+    a, b = m.withColumnRenamed("file_id", "file_id_a"), m.withColumnRenamed("file_id", "file_id_b")
+    return a.join(b, ["place", "digest"]).where("file_id_a < file_id_b").select("file_id_a", "file_id_b").distinct()
 
 
 def write_bundles(packed: DataFrame, folder: str, suffix: str = ".txt") -> DataFrame:

@@ -32,15 +32,15 @@ def p2_manifest(spark: SparkSession, d: str) -> DataFrame:
     return r.select("row_id", *[F.col(c).cast("bigint").alias(c) if c in ("dhash", "width", "height", "annotation_count") else c for c in feeds.MANIFEST])
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.relisted_pairs(_table(spark, d, "small_files"))
-
-
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files = _table(spark, d, "small_files")
     return files, Scratch(spark, "p5").keep(compaction.bundles(files), "bundles")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.bundled_pairs(*_packed(spark, d))
+
+
 def p5_bundles(spark: SparkSession, d: str) -> DataFrame:
     _, packed = _packed(spark, d)
     return packed.select("bundle", "kind", "n_bytes", "sha256", F.size("members").cast("bigint").alias("n_members"), "valid")
