@@ -1,4 +1,5 @@
 import collections
+import datetime
 
 import duckdb
 from pyspark.sql import functions as F
@@ -37,3 +38,14 @@ def test_field_issues_has_more_documents_in_larger_tables(spark):
         assert rows(got) == whole(sql.replace("sample_id % 40", "(sample_id - 1) // 4"), "recognition_samples", d)
         kinds = {r.issue: r.n for r in got.groupBy("issue").agg(F.countDistinct("doc_id").alias("n")).collect()}
         assert kinds["missing_field"] >= n / 2 and set(kinds) == {"missing_field", "unexpected_field", "duplicate_field"}
+
+
+def test_label_conflicts_by_place_and_last_version(spark, tmp_path):
+    sha = [x * 64 for x in "abc"]
+    images = [(1, "1.jpg", sha[0], "l/1.txt"), (2, "2.jpg", sha[0], "l/2.txt"), (3, "3.jpg", sha[1], "l/3.txt"), (4, "4.jpg", sha[1], "l/4.txt"), (5, "5.jpg", sha[2], "l/5.txt"), (6, "6.jpg", sha[2], "./l//5.txt")]
+    cols = "image_id BIGINT, rel_path STRING, raw_split STRING, sha256 STRING, dhash BIGINT, width INT, height INT, label_path STRING"
+    spark.createDataFrame([(i, r, "train", h, 0, 1, 1, p) for i, r, h, p in images], cols).write.parquet(f"{tmp_path}/image_records.parquet")
+    day = [datetime.datetime(2025, 1, i) for i in (1, 2)]
+    files = [(1, "./l/1.txt", "0 a", day[0]), (2, "l//2.txt", "0 b", day[0]), (3, "l/3.txt", "0 z", day[1]), (4, "l/3.txt", "0 a", day[0]), (5, "l/4.txt", "0 y", day[0]), (6, "l/4.txt", "0 z", day[0])]
+    spark.createDataFrame(files, "file_id BIGINT, file_path STRING, content STRING, modified_at TIMESTAMP").write.parquet(f"{tmp_path}/small_files.parquet")
+    assert rows(catalogue.label_conflicts(spark, str(tmp_path))) == {(sha[0], 2, 2): 1, (sha[1], 2, 1): 1}

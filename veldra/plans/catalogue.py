@@ -245,8 +245,9 @@ def exact_duplicates(s, d):
       FROM (SELECT file_path AS label_path, min(content) AS content FROM small_files GROUP BY file_path))
     SELECT sha AS digest, count(DISTINCT label_path) AS n_images, count(DISTINCT coalesce(bag, chr(0))) AS n_contents FROM i LEFT JOIN l USING (label_path) GROUP BY sha HAVING count(DISTINCT label_path) > 1""")
 def label_conflicts(s, d):
-    i = images(s, d).where("label_path is not null").select("sha", "label_path").distinct()
-    b = t(s, d, "small_files").groupBy(c("file_path").alias("label_path")).agg(F.min("content").alias("content"))
+    """Paths are compared as places; of a rewritten file the last version counts."""
+    i = images(s, d).select("sha", place_key(c("label_path")).alias("label_path")).where("label_path is not null").distinct()
+    b = t(s, d, "small_files").groupBy(place_key(c("file_path")).alias("label_path")).agg(F.max_by("content", F.struct("modified_at", "file_id")).alias("content"))
     return grouping.label_conflicts(i, b, "sha", "label_path")
 
 
