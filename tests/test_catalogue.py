@@ -4,6 +4,7 @@ import datetime
 import duckdb
 from pyspark.sql import functions as F
 
+from veldra.operators import conversion, labels
 from veldra.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -49,3 +50,17 @@ def test_label_conflicts_by_place_and_last_version(spark, tmp_path):
     files = [(1, "./l/1.txt", "0 a", day[0]), (2, "l//2.txt", "0 b", day[0]), (3, "l/3.txt", "0 z", day[1]), (4, "l/3.txt", "0 a", day[0]), (5, "l/4.txt", "0 y", day[0]), (6, "l/4.txt", "0 z", day[0])]
     spark.createDataFrame(files, "file_id BIGINT, file_path STRING, content STRING, modified_at TIMESTAMP").write.parquet(f"{tmp_path}/small_files.parquet")
     assert rows(catalogue.label_conflicts(spark, str(tmp_path))) == {(sha[0], 2, 2): 1, (sha[1], 2, 1): 1}
+
+
+def test_label_lines_of_any_length_and_without_a_path(spark, tmp_path):
+    long = "0 " + "0.1 0.2 " * 500_000 + "0.9 1.5"
+    lines = [(1, None, 1, "0 .5 .5 .2 .1"), (2, None, 2, "0  .5 .5 .2 .1"), (3, "f", 1, "1 .5 .5 .2 .1"), (4, "f", 2, "1 x"), (5, "g", 1, "0 .1 .1 .9 .1 .9 .9")]
+    df = spark.createDataFrame(lines, "row_id BIGINT, label_path STRING, line INT, raw STRING")
+    df.write.parquet(f"{tmp_path}/label_lines.parquet")
+    for name in ("label_issue_counts", "label_class_profile", "class_presence", "label_anomalies", "converted_files"):
+        assert rows(catalogue.QUERIES[name](spark, str(tmp_path))) == whole(catalogue.SQL[name], "label_lines", tmp_path), name
+    assert rows(catalogue.label_issue_counts(spark, str(tmp_path))) == {("duplicate_annotation", 1): 1, ("malformed_line", 1): 1}
+    one = labels.with_issues(spark.createDataFrame([(1, "f", 1, long)], df.schema))
+    assert one.select("issues", "kind").first() == (["coord_out_of_range", "zero_area_polygon"], "polygon")
+    fields = conversion.convert_files(one, spark.createDataFrame([(0, 1)], "class_id BIGINT, target INT"))
+    assert fields.selectExpr("size(fields[0].coords)", "fields[0].coords[1000001]").first() == (1_000_002, 1.5)

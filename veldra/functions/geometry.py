@@ -14,7 +14,8 @@ def corners(cx: Column, cy: Column, w: Column, h: Column) -> list[Column]:
 def points_of(flat: Column) -> Column:
     """Pairs of a flat list of an even number of at least six coordinates; null for other lists."""
     n = F.size(flat)
-    return F.when((n >= 6) & (n % 2 == 0), F.transform(F.sequence(F.lit(0), n - 2, F.lit(2)), lambda i: F.struct(F.get(flat, i).alias("x"), F.get(flat, i + 1).alias("y"))))
+    xs, ys = F.filter(flat, lambda _, i: i % 2 == 0), F.filter(flat, lambda _, i: i % 2 == 1)
+    return F.when((n >= 6) & (n % 2 == 0), F.zip_with(xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
 
 
 def enclosing(points: Column) -> list[Column]:
@@ -23,10 +24,12 @@ def enclosing(points: Column) -> list[Column]:
 
 
 def twice_area(points: Column) -> Column:
-    """Twice the area by the shoelace formula; whole for whole coordinates."""
-    n = F.size(points)
-    step = lambda acc, i: acc + F.get(points, i)["x"] * F.get(points, (i + 1) % n)["y"] - F.get(points, (i + 1) % n)["x"] * F.get(points, i)["y"]
-    return F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), step))
+    """Twice the area by the shoelace formula; whole for whole coordinates. Each point meets the next in one pass, as a
+    lookup by number would make the list again for every point."""
+    following = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+    pairs = F.zip_with(points, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    step = lambda acc, s: acc + s["p"]["x"] * s["q"]["y"] - s["q"]["x"] * s["p"]["y"]
+    return F.abs(F.aggregate(pairs, F.lit(0.0), step))
 
 
 def to_absolute(points: Column, width: Column, height: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sample_id
+from .labels import coordinates
 
 
 def convert_files(checked: DataFrame, mapping: DataFrame, file: str = "label_path", line: str = "line") -> DataFrame:
@@ -15,7 +16,7 @@ def convert_files(checked: DataFrame, mapping: DataFrame, file: str = "label_pat
     m = mapping.withColumn("_known", F.lit(True))
     j = checked.join(F.broadcast(m), "class_id", "left")
     bad = ~F.col("kept") | F.col("_known").isNull()
-    field = F.when(~bad & F.col("target").isNotNull(), F.struct(F.col(line).alias("line"), "target", "kind", F.slice("v", 2, 1_000_000).alias("coords")))
+    field = F.when(~bad & F.col("target").isNotNull(), F.struct(F.col(line).alias("line"), "target", "kind", coordinates(F.col("v")).alias("coords")))
     g = j.groupBy(file).agg(F.bool_or(bad).alias("bad"), F.count(field).alias("f"), F.count(F.when(~bad & F.col("target").isNull(), 1)).alias("x"), F.array_sort(F.collect_list(field)).alias("fields"))
     zero = F.lit(0).cast("bigint")
     some = ~F.col("bad")

@@ -24,6 +24,11 @@ def tokenize(lines: DataFrame, raw: str = "raw") -> DataFrame:
     return t.withColumn("v", F.when(number, F.transform("tokens", _value)))
 
 
+def coordinates(v: Column) -> Column:
+    """All values after the class id."""
+    return F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0)))
+
+
 def _outside(x: Column) -> Column:
     return ~F.isnan(x) & ((x < -EPS) | (x > 1 + EPS))
 
@@ -35,9 +40,9 @@ def with_issues(lines: DataFrame, file: str = "label_path", order: str = "line",
     lines: an aggregation by file and text, so that a file of any length needs no sorting in one task.
     """
     t = tokenize(lines, raw).withColumn("norm", F.array_join("tokens", " "))
-    first = t.groupBy(file, "norm").agg(F.min(order).alias("first_at"))
-    t = t.join(first, [file, "norm"])
-    v, c = F.col("v"), F.slice("v", 2, 1_000_000)
+    first = t.groupBy(F.col(file).alias("_file"), F.col("norm").alias("_norm")).agg(F.min(order).alias("first_at"))
+    t = t.join(first, F.col(file).eqNullSafe(F.col("_file")) & (F.col("norm") == F.col("_norm"))).drop("_file", "_norm")
+    v, c = F.col("v"), coordinates(F.col("v"))
     n = F.size("v") - 1
     whole = ~F.isnan(F.get(v, F.lit(0))) & (F.abs(F.get(v, F.lit(0))) != float("inf")) & (F.get(v, F.lit(0)) == F.floor(F.get(v, F.lit(0)))) & (F.get(v, F.lit(0)) >= 0)
     loads = v.isNotNull() & whole
