@@ -64,3 +64,11 @@ def test_label_lines_of_any_length_and_without_a_path(spark, tmp_path):
     assert one.select("issues", "kind").first() == (["coord_out_of_range", "zero_area_polygon"], "polygon")
     fields = conversion.convert_files(one, spark.createDataFrame([(0, 1)], "class_id BIGINT, target INT"))
     assert fields.selectExpr("size(fields[0].coords)", "fields[0].coords[1000001]").first() == (1_000_002, 1.5)
+
+
+def test_polygon_boxes_of_all_points(spark):
+    at = "list_transform(range({}, 65, 2), lambda i: CAST(floor(embedding[i] * 100) AS DOUBLE))"
+    sql = f"""SELECT vec_id, list_min(xs), list_min(ys), list_max(xs), list_max(ys), abs(list_sum(list_transform(range(1, 33), lambda i: xs[i] * ys[i % 32 + 1] - xs[i % 32 + 1] * ys[i])))
+        FROM (SELECT vec_id, {at.format(1)} AS xs, {at.format(2)} AS ys FROM embeddings)"""
+    got = catalogue.polygon_boxes(spark, SMALL)
+    assert got.columns == ["vec_id", "x1", "y1", "x2", "y2", "twice_area"] and rows(got) == whole(sql, "embeddings")

@@ -137,7 +137,7 @@ _AREA = " + ".join(f"{_XS[i]} * {_YS[(i + 1) % 4]} - {_XS[(i + 1) % 4]} * {_YS[i
 
 @query(f"SELECT vec_id, least({', '.join(_XS)}) AS x1, least({', '.join(_YS)}) AS y1, greatest({', '.join(_XS)}) AS x2, greatest({', '.join(_YS)}) AS y2, abs({_AREA}) AS twice_area FROM embeddings")
 def polygon_boxes(s, d):
-    flat = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 100).cast("double"))
+    flat = F.transform("embedding", lambda x: F.floor(x * 100).cast("double"))
     return t(s, d, "embeddings").select("vec_id", G.points_of(flat).alias("p")).select("vec_id", *G.enclosing(c("p")), G.twice_area(c("p")).alias("twice_area"))
 
 
