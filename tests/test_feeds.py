@@ -68,3 +68,11 @@ def test_feed_resumes_at_the_next_record_start(spark):
     r = rows(spark, feed, one=False)
     assert sorted(str(x.problem) for x in r) == ["None", "None", "broken_quoting", "invalid_value"]
     assert next(x.line for x in r if x.problem == "broken_quoting") == 2
+
+
+def test_feed_resumes_at_records_of_any_dataset_and_folder(spark):
+    broken = GOOD.replace('"says ""x"", twice"', '"no end')
+    other, flat = GOOD.replace("pan", "other", 1), GOOD.replace("train/images/", "")
+    r = rows(spark, "\n".join([broken, other, flat, broken.replace("train/images/", ""), flat]), one=False)
+    assert [(x.problem, x.line) for x in r if x.problem] == [("broken_quoting", 1), ("invalid_value", 2), ("broken_quoting", 4)]
+    assert sum(x.problem is None for x in r) == 2

@@ -3,8 +3,9 @@
 Two grammars: lines of a label file and records of the split manifest (comma-separated, double quotes). Each
 rule is a method that consumes input at a position and returns a value or raises ``SyntaxProblem`` with its place.
 After a problem the feed parser goes on at the next validated record start: the start of a physical line whose
-first field is a known dataset and whose second field looks like an image path. So one broken quote costs the
-record it is in and not the rest of the feed.
+first field is a known dataset and whose second field looks like an image path, or that has the fields of a record
+with most of its fixed words. So one broken quote costs the record it is in and not the rest of the feed. Lines
+after it that don't begin like a record are passed over with it, as an open quote may hold them.
 
 The parsers run over Arrow batches and hold one row at a time besides the batch; no shuffle is needed. Typed
 records and located problems come out in one pass.
@@ -38,6 +39,11 @@ BARE = re.compile(r'[^",]*')
 BARE_IN_LINE = re.compile(r'[^",\r\n]*')
 QUOTED = re.compile(r'"((?:[^"]|"")*)"')
 ANCHOR = re.compile(r'(?:^|(?<=\n))"?(?:' + "|".join(DATASETS) + r')"?,"?[^",\r\n]*/images/[^",\r\n]+"?,')
+#: The first fields of a record, all on one line, each with its comma.
+LINE_START = re.compile(r"(?:^|(?<=[\r\n]))(?=[^\r\n])")
+IN_LINE = r'(?:"(?:[^"\r\n]|"")*"|[^",\r\n]*),'
+HEAD = re.compile(IN_LINE * (len(MANIFEST) - 1))
+HEAD_FIELD = re.compile(IN_LINE)
 
 
 class SyntaxProblem(Exception):
@@ -119,10 +125,10 @@ class Manifest:
                     yield start, e
             except SyntaxProblem as e:
                 yield start, e
-                found = None if self.one_record else ANCHOR.search(self.text, e.at + 1)
-                if not found:
+                found = None if self.one_record else self.anchor(e.at + 1)
+                if found is None:
                     return
-                self.at = found.start()
+                self.at = found
                 continue
             if self.at >= len(self.text):
                 return
@@ -130,6 +136,19 @@ class Manifest:
             if self.at >= len(self.text):
                 return
 
+    def anchor(self, at: int) -> int | None:
+        """The next line that begins like a record: with a dataset and an image path, or with as many fields as a record
+        has, most of those with a fixed vocabulary from it, whatever its dataset and path are."""
+        for m in LINE_START.finditer(self.text, at):
+            if ANCHOR.match(self.text, m.start()):
+                return m.start()
+            if head := HEAD.match(self.text, m.start()):
+                f = dict(zip(MANIFEST, (x[:-1].strip('"') for x in HEAD_FIELD.findall(head[0]))))
+                words = (("dataset", DATASETS), ("raw_split", SPLITS), ("target_split", SPLITS), ("grouping_method", METHODS), ("confidence", CONFIDENCES))
+                if sum(f[k] in v for k, v in words) >= 3:
+                    return m.start()
+        return None
+
     def newline(self) -> None:
         self.at += 2 if self.text.startswith("\r\n", self.at) else 1
 
