@@ -37,7 +37,8 @@ def with_issues(lines: DataFrame, file: str = "label_path", order: str = "line",
     """Each line with ``issues`` (codes in order of the checks) and ``kept`` (whether an annotation comes of it).
 
     A line that repeats an earlier one of its file, white space aside, is told by the smallest ``order`` of equal
-    lines: an aggregation by file and text, so that a file of any length needs no sorting in one task.
+    lines: an aggregation by file and text, so that a file of any length needs no sorting in one task. A class id that no
+    BIGINT holds loads like any other, but ``class_id`` is null, which is a class of its own that nothing maps.
     """
     t = tokenize(lines, raw).withColumn("norm", F.array_join("tokens", " "))
     first = t.groupBy(F.col(file).alias("_file"), F.col("norm").alias("_norm")).agg(F.min(order).alias("first_at"))
@@ -61,7 +62,7 @@ def with_issues(lines: DataFrame, file: str = "label_path", order: str = "line",
         ("invalid_token_count", loads & ~box & ~poly),
     ]
     issues = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), code) for code, test in checks]), lambda x: x.isNotNull())
-    return t.withColumn("issues", issues).withColumn("kept", F.coalesce(box | poly, F.lit(False))).withColumn("kind", F.when(box, "bbox").when(poly, "polygon")).withColumn("class_id", F.when(F.col("kept"), F.get(v, F.lit(0)).cast("bigint")))
+    return t.withColumn("issues", issues).withColumn("kept", F.coalesce(box | poly, F.lit(False))).withColumn("kind", F.when(box, "bbox").when(poly, "polygon")).withColumn("class_id", F.when(F.col("kept"), F.get(v, F.lit(0)).try_cast("bigint")))
 
 
 def issue_counts(checked: DataFrame) -> DataFrame:

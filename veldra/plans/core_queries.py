@@ -24,12 +24,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_annotations(spark: SparkSession, d: str) -> DataFrame:
     a = feeds.parse_label_lines(_table(spark, d, "label_lines")).where("problem is null")
-    return a.select("row_id", F.col("class_id").cast("bigint").alias("class_id"), "kind", F.size("coords").cast("bigint").alias("n_values"))
+    return a.select("row_id", F.col("class_id").try_cast("bigint").alias("class_id"), "kind", F.size("coords").cast("bigint").alias("n_values"))
 
 
 def p2_manifest(spark: SparkSession, d: str) -> DataFrame:
     r = feeds.parse_manifest(_table(spark, d, "manifest_raw")).where("problem is null")
-    return r.select("row_id", *[F.col(c).cast("bigint").alias(c) if c in ("dhash", "width", "height", "annotation_count") else c for c in feeds.MANIFEST])
+    return r.select("row_id", *[F.col(c).try_cast("bigint").alias(c) if c in ("dhash", "width", "height", "annotation_count") else c for c in feeds.MANIFEST])
+
+
+def p2_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest as text files, whose record starts aren't known, read by blocks: every record or problem with its place."""
+    scratch = Scratch(spark, "p2")
+    at = scratch.path("feed")
+    _table(spark, d, "manifest_raw").select(F.coalesce("raw", F.lit("")).alias("value")).write.text(at)
+    r = feeds.read_manifest_feed(spark, at, scratch)
+    return r.select("problem", "line", "col", *[F.col(c).try_cast("bigint").alias(c) if c in ("dhash", "width", "height", "annotation_count") else c for c in feeds.MANIFEST])
 
 
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +59,7 @@ def p5_index(spark: SparkSession, d: str) -> DataFrame:
     return compaction.index(*_packed(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_annotations, p2_manifest, p5_found, p5_bundles, p5_index)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_annotations, p2_manifest, p2_feed, p5_found, p5_bundles, p5_index)}
 
 _NUM = r"[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]|[iI][nN][fF])"
 _FIELD = r'([^",]*|"([^"]|"")*")'

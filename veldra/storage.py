@@ -39,6 +39,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder; anything that keeps this from being known raises."""
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    p, fs = _at(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 class Scratch:
     """Tables of one run of an operator. ``keep`` writes a table and returns it read back; with ``replaces`` the
     table that it was made of is deleted once the new one is complete."""
@@ -57,7 +74,7 @@ class Scratch:
         df.write.option("compression", "lz4").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths.add(path)
-        out._veldra_scratch = (self, path)  # a table lives as long as something refers to it
+        out._veldra_scratch = (self, path)  # for drop and only; a table that neither deletes stays until the session ends
         if replaces is not None:
             self.drop(replaces)
         return out
