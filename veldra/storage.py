@@ -8,6 +8,7 @@ memory or on executor-local disk only.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -56,6 +57,24 @@ def list_names(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, which marks that something is complete."""
+    p, fs = _at(spark, path)
+    fs.create(p, True).close()
+
+
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """A name for the present content of files or folders, by the names, lengths and times of their files."""
+    said = []
+    for path in paths:
+        p, fs = _at(spark, path)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            said.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(said)).encode()).hexdigest()[:16]
+
+
 class Scratch:
     """Tables of one run of an operator. ``keep`` writes a table and returns it read back; with ``replaces`` the
     table that it was made of is deleted once the new one is complete."""
