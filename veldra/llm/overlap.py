@@ -35,10 +35,9 @@ def grams(h: Column) -> Column:
     return F.array(*one)
 
 
-def _fine(h: Column, g: Column) -> Column:
-    """Keys that split a hot gram: its other two words are four bytes, of which two flipped bits leave two
-    untouched, so two such hashes share one of six byte pairs."""
-    place = F.shiftrightunsigned(g, 32).cast("int")
+def fine_keys(h: Column, place: Column) -> Column:
+    """Keys that split a hot word pair: its other two words are four bytes, of which two flipped bits leave two
+    untouched, so two such hashes share one of six byte pairs. ``place`` is the number of the word pair."""
     byte = lambda w, k: F.shiftrightunsigned(word(h, w), 8 * k).bitwiseAND(F.lit(0xFF).cast("bigint"))
     out = None
     for p, pair in enumerate(WORD_PAIRS):
@@ -54,7 +53,7 @@ def gram_rows(hashes: DataFrame, hot: DataFrame | None) -> DataFrame:
     if hot is None:
         return rows.withColumn("f", F.lit(0).cast("bigint"))
     marked = rows.join(F.broadcast(hot.select("g", F.lit(True).alias("hot"))), "g", "left")
-    return marked.select("h", "g", F.explode(F.when(F.col("hot"), _fine(F.col("h"), F.col("g"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("f"))
+    return marked.select("h", "g", F.explode(F.when(F.col("hot"), fine_keys(F.col("h"), F.shiftrightunsigned("g", 32).cast("int"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("f"))
 
 
 def hot_grams(a: DataFrame, b: DataFrame, limit: int = HOT_GRAM) -> DataFrame | None:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import Scratch
+from ..storage import Scratch, scratch_root, stamp
 from . import incremental, match_groups, mixing, overlap, pii, splits, tokens
 
 
@@ -42,8 +42,23 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_table(spark, d, "image_records"), Scratch(spark, "p4"))
 
 
+def p6_index(spark: SparkSession, d: str) -> incremental.PivotIndex:
+    """The stored index of image_records, in the folder that the executors share: made by whoever asks first, opened by all
+    others. Its name tells the files of the two tables, so that other tables have another index."""
+    files = stamp(spark, f"{d}/image_records.parquet", f"{d}/incoming_images.parquet")
+    index = incremental.PivotIndex(spark, f"{scratch_root(spark)}/veldra-history-{incremental.LAYOUT}-{files}")
+    if 0 not in index.batches():
+        index.append(incremental.read_records(_table(spark, d, "image_records")), 0)
+    return index
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.repeats(_table(spark, d, "image_records"), _table(spark, d, "incoming_images"), Scratch(spark, "p6")).select("incoming_id")
+    return incremental.accept(p6_index(spark, d), _table(spark, d, "incoming_images"), Scratch(spark, "p6")).select("incoming_id")
+
+
+def p6_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """The repeats with their batch and whether history had them."""
+    return incremental.accept(p6_index(spark, d), _table(spark, d, "incoming_images"), Scratch(spark, "p6"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +97,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p4_found, p4_report, p6_found, p7_ids, p8_mix, p8_sample, p9_found, p9_mentions, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p4_found, p4_report, p6_found, p6_repeats, p7_ids, p8_mix, p8_sample, p9_found, p9_mentions, p9_redacted)
 }
 
 # Stand-ins and split words as in functions.normal, letters and digits only.
@@ -132,4 +147,7 @@ SQL: dict[str, str] = {
     "p6_found": f"""WITH n AS (SELECT incoming_id, {_SHA} AS sha, CASE WHEN dhash <> 0 THEN dhash END AS h FROM incoming_images),
         o AS (SELECT 0 AS first, {_SHA} AS sha, CASE WHEN dhash <> 0 THEN dhash END AS h FROM image_records UNION ALL SELECT * FROM n)
         SELECT DISTINCT n.incoming_id FROM n JOIN o ON o.first < n.incoming_id AND (o.sha = n.sha OR bit_count(xor(o.h, n.h)) <= 2)""",
+    "p6_repeats": f"""WITH n AS (SELECT incoming_id, batch_no, {_SHA} AS sha, CASE WHEN dhash <> 0 THEN dhash END AS h FROM incoming_images),
+        o AS (SELECT 0 AS first, {_SHA} AS sha, CASE WHEN dhash <> 0 THEN dhash END AS h FROM image_records UNION ALL SELECT incoming_id, sha, h FROM n)
+        SELECT n.incoming_id, min(n.batch_no) AS batch_no, max(CASE WHEN o.first = 0 THEN 1 ELSE 0 END) = 1 AS known FROM n JOIN o ON o.first < n.incoming_id AND (o.sha = n.sha OR bit_count(xor(o.h, n.h)) <= 2) GROUP BY n.incoming_id""",
 }
