@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import place_key
+from ..skew import hot_expand
+from ..storage import Scratch
 
 TARGET_BYTES = 32 << 20
 
@@ -133,18 +135,30 @@ def index(files: DataFrame, packed: DataFrame) -> DataFrame:
     return m.join(last, ["kind", "place"]).select("file_id", "place", "bundle", "start", "length", (F.col("digest") == F.col("last")).alias("latest"))
 
 
-def bundled_pairs(files: DataFrame, packed: DataFrame) -> DataFrame:
+def bundled_pairs(files: DataFrame, packed: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``(file_id_a, file_id_b)``, a < b, of rows that the bundles hold by members of the same place and digest: the same
     member, or one of each kind where a place is listed under several. Raises if a bundle didn't pass its validation."""
     valid = F.when(F.col("valid"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("invalid bundle "), F.col("bundle"))))
-    m = _pointed(files, packed).select("file_id", "place", valid.alias("digest"))
-    a, b = m.withColumnRenamed("file_id", "file_id_a"), m.withColumnRenamed("file_id", "file_id_b")
-    return a.join(b, ["place", "digest"]).where("file_id_a < file_id_b").select("file_id_a", "file_id_b").distinct()
+    m = _pointed(files, packed).select("file_id", F.struct("place", valid.alias("digest")).alias("member"))
+    several = m.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member")
+    scratch = scratch or Scratch(files.sparkSession, "pairs")
+    m = scratch.keep(m.join(several, "member", "left_semi"), "relisted")
+    pairs = hot_expand(m.withColumnRenamed("file_id", "file_id_a"), m.withColumnRenamed("file_id", "file_id_b"), "member", scratch)
+    return pairs.where("file_id_a < file_id_b").select("file_id_a", "file_id_b").distinct()
+
+
+def relisted_groups(files: DataFrame, packed: DataFrame) -> DataFrame:
+    """``(file_id, member, n)``: each row that lists a member that other rows list too, with the smallest ``file_id`` of them and
+    their number. What ``bundled_pairs`` says, but a member with a million rows is a million rows here, not all their pairs."""
+    m = _pointed(files, packed).select("file_id", "place", "digest").distinct()
+    g = m.groupBy("place", "digest").agg(F.min("file_id").alias("member"), F.count("*").alias("n")).where("n > 1")
+    return m.join(g, ["place", "digest"]).select("file_id", "member", "n")
 
 
 def write_bundles(packed: DataFrame, folder: str, suffix: str = ".txt") -> DataFrame:
-    """Writes each bundle as one file of a folder that all executors share, by a temporary name and a rename, so
-    a task that runs twice leaves one file; returns ``(bundle, path, n_bytes, ok)`` read back from the files."""
+    """Writes each bundle as one file of a folder that all executors mount, by a temporary name and a rename, so
+    a task that runs twice leaves one file; returns ``(bundle, path, n_bytes, ok)`` read back from the files. For other file
+    systems see ``store_bundles``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -164,3 +178,24 @@ def write_bundles(packed: DataFrame, folder: str, suffix: str = ".txt") -> DataF
                 yield pa.RecordBatch.from_pylist([{"bundle": name, "path": path, "n_bytes": len(data), "ok": ok}], schema=pa.schema([("bundle", pa.string()), ("path", pa.string()), ("n_bytes", pa.int64()), ("ok", pa.bool_())]))
 
     return packed.select("bundle", "data", "sha256").mapInArrow(run, "bundle STRING, path STRING, n_bytes BIGINT, ok BOOLEAN")
+
+
+def store_bundles(packed: DataFrame, folder: str) -> DataFrame:
+    """Writes newline-delimited bundles as text files through Spark's own committer, so the folder may be on any file system that
+    Spark writes to and lost tasks leave nothing; returns ``(bundle, kind, path, n_bytes, ok)`` read back from the files.
+
+    A bundle is cut at line breaks into the rows of one partition and comes out as one file, in a folder of its kind and name: no
+    task holds more than a bundle. ``ok``: length and sha256 of the file are those of the bundle. Bytes that aren't UTF-8 and bundles
+    of zstandard frames can't be text: they fail here and are written by ``write_bundles``."""
+    text = F.col("data").cast("string")
+    body = F.when(text.endswith("\n"), F.expr("substring(string(data), 1, char_length(string(data)) - 1)")).otherwise(text)
+    # the writer ends the text with a line break, which a bundle whose last member lacks one doesn't have
+    rows = packed.where("n_bytes > 0").select(body.alias("value"), F.coalesce("kind", F.lit("")).alias("kind"), "bundle")
+    rows.write.mode("overwrite").option("lineSep", "\n").partitionBy("kind", "bundle").text(folder)
+    spark = packed.sparkSession
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("path like '%/bundle=%'")
+    stored = found.select(F.regexp_extract("path", "/bundle=([^/]+)/", 1).alias("bundle"), "path", "length", F.sha2("content", 256).alias("sha"), F.sha2(F.expr("substring(content, 1, length - 1)"), 256).alias("bare"))
+    j = packed.where("n_bytes > 0").select("bundle", "kind", "n_bytes", "sha256").join(stored, "bundle", "left")
+    exact = (F.col("length") == F.col("n_bytes")) & (F.col("sha") == F.col("sha256"))
+    ended = (F.col("length") == F.col("n_bytes") + 1) & (F.col("bare") == F.col("sha256"))
+    return j.select("bundle", "kind", "path", "n_bytes", F.coalesce(exact | ended, F.lit(False)).alias("ok"))

@@ -50,6 +50,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.bundled_pairs(*_packed(spark, d))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return compaction.relisted_groups(*_packed(spark, d))
+
+
+def p5_written(spark: SparkSession, d: str) -> DataFrame:
+    """The bundles as text files of the shared folder, checked against what was read back of each."""
+    _, packed = _packed(spark, d)
+    return compaction.store_bundles(packed, Scratch(spark, "p5").path("files")).select("bundle", "kind", "n_bytes", "ok")
+
+
+def p5_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The same members as complete zstandard frames."""
+    packed = Scratch(spark, "p5").keep(compaction.bundles(_table(spark, d, "small_files"), fmt="zstd"), "frames")
+    return packed.select("bundle", "kind", "n_bytes", "sha256", F.size("members").cast("bigint").alias("n_members"), "valid")
+
+
 def p5_bundles(spark: SparkSession, d: str) -> DataFrame:
     _, packed = _packed(spark, d)
     return packed.select("bundle", "kind", "n_bytes", "sha256", F.size("members").cast("bigint").alias("n_members"), "valid")
@@ -59,7 +75,12 @@ def p5_index(spark: SparkSession, d: str) -> DataFrame:
     return compaction.index(*_packed(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_annotations, p2_manifest, p2_feed, p5_found, p5_bundles, p5_index)}
+def p5_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The index without the places in the bundles, which depend on how rows are spread."""
+    return compaction.index(*_packed(spark, d)).select("file_id", "place", "length", "latest")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_annotations, p2_manifest, p2_feed, p5_found, p5_groups, p5_bundles, p5_written, p5_frames, p5_index, p5_latest)}
 
 _NUM = r"[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]|[iI][nN][fF])"
 _FIELD = r'([^",]*|"([^"]|"")*")'
@@ -95,6 +116,11 @@ SQL: dict[str, str] = {
         f[7] AS grouping_method, f[8] AS confidence, f[9] AS sha256,
         CASE WHEN f[10] = '' THEN NULL ELSE CAST(CASE WHEN CAST('0x' || f[10] AS UBIGINT) >= 9223372036854775808 THEN CAST('0x' || f[10] AS HUGEINT) - 18446744073709551616 ELSE CAST('0x' || f[10] AS HUGEINT) END AS BIGINT) END AS dhash,
         CAST(f[11] AS BIGINT) AS width, CAST(f[12] AS BIGINT) AS height, CAST(f[13] AS BIGINT) AS annotation_count, f[14] AS notes FROM m WHERE problem IS NULL""",
+    "p5_groups": f"""WITH m AS (SELECT DISTINCT file_id, {_PLACE} AS place, content FROM small_files), g AS (SELECT place, content, min(file_id) AS member, count(*) AS n FROM m GROUP BY ALL HAVING count(*) > 1)
+        SELECT file_id, member, n FROM m JOIN g USING (place, content)""",
+    "p5_latest": f"""WITH m AS (SELECT file_id, coalesce(kind, '') AS kind, {_PLACE} AS place, content, modified_at FROM small_files),
+        l AS (SELECT kind, place, content FROM (SELECT *, row_number() OVER (PARTITION BY kind, place ORDER BY modified_at DESC NULLS LAST, file_id DESC) AS n FROM m) WHERE n = 1)
+        SELECT file_id, place, CAST(strlen(m.content) AS BIGINT) AS length, m.content = l.content AS latest FROM m JOIN l USING (kind, place)""",
     "p5_found": f"""WITH m AS (SELECT file_id, {_PLACE} AS place, content FROM small_files)
         SELECT a.file_id AS file_id_a, b.file_id AS file_id_b FROM m a JOIN m b ON a.place = b.place AND a.content = b.content AND a.file_id < b.file_id""",
 }

@@ -43,3 +43,29 @@ def hot_lookup(big: DataFrame, unique: DataFrame, key: str, scratch, how: str =
     counted = scratch.keep(rows.groupBy(key).agg(F.count("*").alias("_n")).join(unique, key), "counted")
     total, most = counted.agg(F.sum("_n"), F.max("_n")).first()
     return hot_join(rows, counted, key, "_n", total or 0, most or 0, how)
+
+
+#: Rows of a result that one task makes for a key.
+TASK_PAIRS = 1 << 20
+
+
+def hot_expand(a: DataFrame, b: DataFrame, key: str, scratch) -> DataFrame:
+    """All pairs of rows of ``a`` and ``b`` with an equal ``key`` that isn't null, without a hot task. For joins whose result is
+    the pairs of copies themselves: where a key makes more than TASK_PAIRS of them, its rows of the larger side are cut into
+    blocks and those of the smaller side go to each, so the work is spread in proportion to the result. A plain join otherwise."""
+    a, b = a.where(F.col(key).isNotNull()), b.where(F.col(key).isNotNull())
+    n = a.groupBy(key).agg(F.count("*").alias("_a")).join(b.groupBy(key).agg(F.count("*").alias("_b")), key)
+    hot = scratch.keep(n.where(F.col("_a") * F.col("_b").cast("double") > TASK_PAIRS), "hot")
+    if hot.isEmpty():
+        return a.join(b, key)
+    # fewer hot keys than pairs / TASK_PAIRS: as each is the size of a task, they may be broadcast
+    blocks = hot.select(key, F.least(F.greatest("_a", "_b"), F.ceil(F.col("_a") * F.col("_b").cast("double") / TASK_PAIRS).cast("bigint")).alias("_n"), (F.col("_a") >= F.col("_b")).alias("_cut"))
+
+    def placed(side: DataFrame, cut: bool) -> DataFrame:
+        j = side.join(F.broadcast(blocks), key, "left")
+        own = F.when(F.col("_n").isNull(), F.array(F.lit(0).cast("bigint")))
+        one = F.array(F.pmod(F.xxhash64(*side.columns), F.col("_n")))
+        every = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)
+        return j.withColumn("_block", F.explode(own.when(F.col("_cut") == F.lit(cut), one).otherwise(every))).drop("_n", "_cut")
+
+    return placed(a, True).join(placed(b, False), [key, "_block"]).drop("_block")
