@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import dhash_key, name_key, sha_key, split_name
-from ..skew import hot_lookup
+from ..skew import hot_expand, hot_lookup
 from ..storage import Scratch
 
 MAX_BITS = 2
@@ -106,11 +106,30 @@ def overlap_pairs(images: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS)
     tr, ev, near = _near(_sides(images, scratch), scratch, max_bits)
     a = tr.select(F.col("image_id").alias("x"), "sha", F.col("h").alias("t"))
     b = ev.select(F.col("image_id").alias("y"), "sha", F.col("h").alias("e"))
-    exact = a.where("sha is not null").select("x", "sha").join(b.select("y", "sha"), "sha").select("x", "y")
-    like = a.select("x", "t").join(near.select("e", "t"), "t").join(b.select("y", "e"), "e").select("x", "y")
+    exact = hot_expand(a.select("x", "sha").distinct(), b.select("y", "sha").distinct(), "sha", scratch).select("x", "y")
+    mine = hot_lookup(b.select("y", F.col("e").alias("h")).distinct(), near.select(F.col("e").alias("h")).distinct(), "h", scratch, "left_semi")
+    # each near training hash of an evaluation hash, then the images of both
+    sides = hot_expand(mine.withColumnRenamed("h", "e"), near.select("e", "t"), "e", scratch)
+    like = hot_expand(a.select("x", "t").distinct(), sides.select("y", "t"), "t", scratch).select("x", "y")
     return exact.unionByName(like).where("x <> y").select(F.least("x", "y").alias("image_id_a"), F.greatest("x", "y").alias("image_id_b")).distinct()
 
 
+def overlap_classes(images: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, members)``, the same overlaps by classes of copies, so that no group of copies becomes pairs.
+
+    ``pairs (evaluation, training, bits, hits, containment)``: distinct dhashes of both sides, each by the smallest image that has
+    it on that side; containment is the share of the evaluation record's grams that the training record has. ``members
+    (side, representative, image_id)``: the images of each hash in a pair. Equal digests are found by ``overlap_report``."""
+    tr, ev, near = _near(_sides(images, scratch), scratch, max_bits)
+    least = lambda df, name: df.where("h is not null").groupBy("h").agg(F.min("image_id").alias(name))
+    e, t = scratch.keep(least(ev, "evaluation"), "e"), scratch.keep(least(tr, "training"), "t")
+    pairs = near.join(e.withColumnRenamed("h", "e"), "e").join(t.withColumnRenamed("h", "t"), "t").select("evaluation", "training", "bits", "hits", "containment")
+    own = lambda df, heads, name, key, side: hot_lookup(
+        df.select("image_id", "h").distinct(), heads.join(near.select(F.col(key).alias("h")).distinct(), "h"), "h", scratch
+    ).select(F.lit(side).alias("side"), F.col(name).alias("representative"), "image_id")
+    return pairs, own(ev, e, "evaluation", "e", "evaluation").unionByName(own(tr, t, "training", "t", "training"))
+
+
 def overlap_report(images: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> DataFrame:
     """Per evaluation split and source: images, those also in train by sha256, by dhash, by either. Counted on
     distinct hashes, so groups of copies are never expanded into pairs. A source that names nothing is ''."""

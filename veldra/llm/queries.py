@@ -42,6 +42,14 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_table(spark, d, "image_records"), Scratch(spark, "p4"))
 
 
+def p4_containment(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(_table(spark, d, "image_records"), Scratch(spark, "p4"))[0]
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(_table(spark, d, "image_records"), Scratch(spark, "p4"))[1]
+
+
 def p6_index(spark: SparkSession, d: str) -> incremental.PivotIndex:
     """The stored index of image_records, in the folder that the executors share: made by whoever asks first, opened by all
     others. Its name tells the files of the two tables, so that other tables have another index."""
@@ -97,7 +105,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p4_found, p4_report, p6_found, p6_repeats, p7_ids, p8_mix, p8_sample, p9_found, p9_mentions, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p4_found, p4_report, p4_containment, p4_members, p6_found, p6_repeats, p7_ids, p8_mix, p8_sample, p9_found, p9_mentions, p9_redacted)
 }
 
 # Stand-ins and split words as in functions.normal, letters and digits only.
@@ -144,6 +152,12 @@ SQL: dict[str, str] = {
     "p4_report": f"""{_P4}, m AS (SELECT v.split, v.source, v.image_id, max(CASE WHEN v.sha IN (SELECT sha FROM t WHERE sha IS NOT NULL) THEN 1 ELSE 0 END) AS same,
             max(CASE WHEN EXISTS (SELECT 1 FROM t WHERE bit_count(xor(t.h, v.h)) <= 2) THEN 1 ELSE 0 END) AS alike FROM v GROUP BY ALL)
         SELECT split, source, count(*) AS n_images, CAST(sum(same) AS BIGINT) AS n_same, CAST(sum(alike) AS BIGINT) AS n_like, CAST(sum(greatest(same, alike)) AS BIGINT) AS n_overlap FROM m GROUP BY split, source""",
+    "p4_containment": f"""{_P4}, e AS (SELECT h, min(image_id) AS evaluation FROM v WHERE h IS NOT NULL GROUP BY h), u AS (SELECT h, min(image_id) AS training FROM t WHERE h IS NOT NULL GROUP BY h),
+        n AS (SELECT evaluation, training, CAST(bit_count(xor(e.h, u.h)) AS INTEGER) AS bits, len(list_filter(range(0, 4), lambda i: ((xor(e.h, u.h) >> CAST(16 * i AS INTEGER)) & 65535) = 0)) AS w FROM e JOIN u ON bit_count(xor(e.h, u.h)) <= 2)
+        SELECT evaluation, training, bits, CAST(w * (w - 1) // 2 AS INTEGER) AS hits, CAST(w * (w - 1) // 2 AS DOUBLE) / 6 AS containment FROM n""",
+    "p4_members": f"""{_P4}, e AS (SELECT h, min(image_id) AS r FROM v WHERE h IS NOT NULL GROUP BY h), u AS (SELECT h, min(image_id) AS r FROM t WHERE h IS NOT NULL GROUP BY h)
+        SELECT DISTINCT 'evaluation' AS side, e.r AS representative, image_id FROM v JOIN e USING (h) WHERE EXISTS (SELECT 1 FROM u WHERE bit_count(xor(e.h, u.h)) <= 2)
+        UNION ALL SELECT DISTINCT 'training', u.r, image_id FROM t JOIN u USING (h) WHERE EXISTS (SELECT 1 FROM e WHERE bit_count(xor(e.h, u.h)) <= 2)""",
     "p6_found": f"""WITH n AS (SELECT incoming_id, {_SHA} AS sha, CASE WHEN dhash <> 0 THEN dhash END AS h FROM incoming_images),
         o AS (SELECT 0 AS first, {_SHA} AS sha, CASE WHEN dhash <> 0 THEN dhash END AS h FROM image_records UNION ALL SELECT * FROM n)
         SELECT DISTINCT n.incoming_id FROM n JOIN o ON o.first < n.incoming_id AND (o.sha = n.sha OR bit_count(xor(o.h, n.h)) <= 2)""",
