@@ -100,3 +100,8 @@ def difference_hash(grid: Column, columns: int = 9) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def box_problem(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """``reversed`` for a box whose second corner lies before its first; null for any other, also an empty one."""
+    return F.when((x2 < x1) | (y2 < y1), "reversed")

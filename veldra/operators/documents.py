@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import account_number_problem, birth_date_problem, card_number_problem
-from ..vocab import FIELDS
+from ..vocab import DETECTOR, FIELDS
 
 
 def exclusive_fields(vocabulary: dict[str, list[str]] | None = None) -> dict[str, set[str]]:
@@ -93,3 +93,13 @@ def nest(parents: DataFrame, children: DataFrame, key: str, order: list[str], na
 def to_json(document: Column) -> Column:
     """A nested document as JSON, nulls written."""
     return F.to_json(document, {"ignoreNullFields": "false"})
+
+
+def detector_id(field: Column) -> Column:
+    """The detector's class of a field; null for a field that it doesn't know."""
+    return F.try_element_at(F.create_map(*[x for i, f in enumerate(DETECTOR) for x in (F.lit(f), F.lit(i))]), field)
+
+
+def detector_name(class_id: Column) -> Column:
+    """The field of a detector class; null for a class that there isn't."""
+    return F.try_element_at(F.create_map(*[x for i, f in enumerate(DETECTOR) for x in (F.lit(i), F.lit(f))]), class_id.try_cast("int"))

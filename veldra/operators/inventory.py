@@ -78,3 +78,40 @@ def compare_listings(before: DataFrame, after: DataFrame, key: str, values: list
     j = b.join(a, key, "full_outer")
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return j.select(key, change.alias("change")).where("change is not null")
+
+
+#: Line ends as text readers know them.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def preview_files(files: DataFrame, key: str, content: str, max_lines: int = 3, max_bytes: int = 2000, redact: bool = True) -> DataFrame:
+    """``(key, size_bytes, encoding, lines, truncated)`` of binary contents. Only the first ``max_bytes`` are looked at, which is the
+    feature of a preview: ``encoding`` is utf-8 or binary by them, and a binary file has no lines. Tokens are redacted and
+    one blank apart, whatever white space there was."""
+    data = F.col(content)
+    head = F.substring(data, 1, max_bytes).cast("string")
+    text = F.is_valid_utf8(head)
+    lines = F.split(F.regexp_replace(head, f"(?:{LINE_END})\\z", ""), LINE_END)
+    words = lambda x: F.filter(F.split(x, r"\s+"), lambda y: y != "")
+    shown = F.transform(F.slice(lines, 1, max_lines), lambda x: F.array_join(F.transform(words(x), redact_token), " ") if redact else x)
+    none = F.array().cast("array<string>")
+    size = F.octet_length(data)
+    return files.select(
+        key, size.cast("bigint").alias("size_bytes"), F.when(text, "utf-8").otherwise("binary").alias("encoding"),
+        F.when(text & (F.length(head) > 0), shown).when(text, none).alias("lines"), F.when(text, size > max_bytes).alias("truncated"),
+    )
+
+
+def top_level(files: DataFrame, path: str = "path") -> DataFrame:
+    """``(path)`` of the entries right below the root that aren't splits with an images or labels folder."""
+    first = F.get(F.split(path, "/"), F.lit(0)).alias("path")
+    return files.select(first).distinct().join(detect_layout(files, path).select(F.col("split").alias("path")), "path", "left_anti")
+
+
+def misplaced_files(files: DataFrame, path: str = "path", image_kinds: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")) -> DataFrame:
+    """``(path)`` of the files right below a split's images folder that aren't images, and below its labels folder that are."""
+    parts = F.split(F.col(path), "/")
+    image = extension_of(F.col(path)).isin(*image_kinds)
+    rows = files.select(F.col(path).alias("path"), F.get(parts, F.lit(0)).alias("split"), F.get(parts, F.lit(1)).alias("kind"), image.alias("image"), F.size(parts).alias("depth")).distinct()
+    odd = rows.where("depth = 3 and ((kind = 'images' and not image) or (kind = 'labels' and image))")
+    return odd.join(F.broadcast(detect_layout(files, path).select("split")), "split", "left_semi").select("path")

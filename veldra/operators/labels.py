@@ -12,7 +12,7 @@ NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]|[iI]
 EPS = 1e-6
 
 
-def _value(t: Column) -> Column:
+def number_value(t: Column) -> Column:
     special = F.lower(F.regexp_replace(t, r"^[+-]", ""))
     return F.when(special == "nan", F.lit(float("nan"))).when(special == "inf", F.when(t.startswith("-"), float("-inf")).otherwise(float("inf"))).otherwise(t.try_cast("double"))
 
@@ -21,7 +21,7 @@ def tokenize(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """``lines`` with ``tokens`` and, where all are numbers, ``v`` (their values); lines without tokens are dropped."""
     t = lines.withColumn("tokens", F.filter(F.split(F.col(raw), r"\s+"), lambda x: x != "")).where(F.size("tokens") > 0)
     number = F.forall("tokens", lambda x: x.rlike(NUMBER))
-    return t.withColumn("v", F.when(number, F.transform("tokens", _value)))
+    return t.withColumn("v", F.when(number, F.transform("tokens", number_value)))
 
 
 def coordinates(v: Column) -> Column:
@@ -126,3 +126,69 @@ def remap_classes(checked: DataFrame, mapping: DataFrame, keys: list[str]) -> Da
         .when(F.col("kind") != "bbox", "not_a_box").when(~inside, "out_of_bounds")
     )
     return j.withColumn("reason", reason).drop("_known")
+
+
+def records_with_labels(images: DataFrame, lines: DataFrame, file: str = "label_path") -> DataFrame:
+    """Images with ``n_lines`` (different lines of their label file that aren't blank) and ``issue``: missing_label_file for
+    a null path."""
+    n = lines.select(file, "line", "raw").distinct().where(F.regexp_replace("raw", r"^[ \t\n\r]+|[ \t\n\r]+$", "") != "").groupBy(file).agg(F.count("*").alias("n"))
+    return images.join(n, file, "left").withColumn("n_lines", F.coalesce("n", F.lit(0))).withColumn("issue", F.when(F.col(file).isNull(), "missing_label_file")).drop("n")
+
+
+def line_fits(v: Column) -> Column:
+    """Whether the values of a line may be a class id and coordinates: numbers, at least five, the first of them whole."""
+    first = F.get(v, F.lit(0))
+    return F.coalesce(v.isNotNull() & (F.size(v) >= 5) & ~F.isnan(first) & (F.abs(first) != float("inf")) & (first == F.floor(first)) & (first >= 0), F.lit(False))
+
+
+def format_fits(checked: DataFrame) -> DataFrame:
+    """``(fits, n_lines)``: whether every line fits; null without lines, as nothing tells the format then."""
+    return checked.agg(F.bool_and(line_fits(F.col("v"))).alias("fits"), F.count("*").alias("n_lines"))
+
+
+def files_fit(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``(path, fits)`` of each file: a ``.txt`` file with at least one line, of which each fits."""
+    lines = F.filter(F.transform(F.split(F.col(content), r"\r\n|[\n\r]"), lambda x: F.filter(F.split(x, r"\s+"), lambda y: y != "")), lambda x: F.size(x) > 0)
+    number = lambda x: F.forall(x, lambda y: y.rlike(NUMBER))
+    each = F.forall(lines, lambda x: number(x) & line_fits(F.when(number(x), F.transform(x, number_value))))
+    return files.select(path, F.coalesce(F.lower(path).endswith(".txt") & (F.size(lines) > 0) & each, F.lit(False)).alias("fits"))
+
+
+def companions(checked: DataFrame, class_id: int = 4, core: tuple[int, ...] = (0, 1, 2, 3), lone: int = 0, file: str = "label_path") -> DataFrame:
+    """``(companions, n_files)`` of the files that have a class, by what else they have: ``alone``, ``with all`` of the core, ``with``
+    the lone class and nothing else, or ``other``. Flags per file, no list of its classes."""
+    own = F.col("class_id") == class_id
+    flags = [F.bool_or(F.col("class_id") == i).alias(f"_{i}") for i in core]
+    odd = F.bool_or(~own & (F.col("class_id") != lone)).alias("_odd")
+    k = checked.where("kept and class_id is not null").groupBy(file).agg(F.bool_or(own).alias("_own"), F.bool_or(~own).alias("_any"), odd, *flags).where("_own")
+    every = F.col(f"_{core[0]}")
+    for i in core[1:]:
+        every = every & F.col(f"_{i}")
+    kind = F.when(~F.col("_any"), "alone").when(every, "with all").when(~F.col("_odd"), f"with {lone}").otherwise("other")
+    return k.groupBy(kind.alias("companions")).agg(F.count("*").alias("n_files"))
+
+
+def box_spread(checked: DataFrame) -> DataFrame:
+    """Per class, over its boxes: ``n_boxes`` and how far centres, sizes and aspects spread (standard deviations of the whole),
+    with the median aspect. Boxes without height have no aspect."""
+    at = lambda i: F.get("v", F.lit(i))
+    b = checked.where("kind = 'bbox' and class_id is not null").select("class_id", at(1).alias("cx"), at(2).alias("cy"), at(3).alias("w"), at(4).alias("h"))
+    b = b.where("not (isnan(cx) or isnan(cy) or isnan(w) or isnan(h) or abs(cx) > 1e9 or abs(cy) > 1e9 or abs(w) > 1e9 or abs(h) > 1e9)").withColumn("aspect", F.expr("try_divide(w, h)"))
+    spread = [F.stddev_pop(k).alias(f"{k}_std") for k in ("cx", "cy", "w", "h", "aspect")]
+    return b.groupBy("class_id").agg(F.count("*").alias("n_boxes"), *spread, F.percentile("aspect", F.lit(0.5)).alias("aspect_median"))
+
+
+def crop_shapes(checked: DataFrame, sizes: DataFrame, class_id: int = 4, file: str = "label_path") -> DataFrame:
+    """One row over the boxes of a class in images of known size: crops in whole pixels within the image, their least, median and
+    largest width and height, and how many are tall (aspect below 1), mid or wide (above 4). ``sizes (file, width, height)``, one
+    row per file."""
+    at = lambda i: F.get("v", F.lit(i))
+    b = checked.where((F.col("kind") == "bbox") & (F.col("class_id") == class_id)).join(sizes, file)
+    edge = lambda c, s, full, sign: F.least(F.greatest((c + sign * s / 2) * full, F.lit(0.0)).cast("bigint"), full.cast("bigint"))
+    w = edge(at(1), at(3), F.col("width"), 1) - edge(at(1), at(3), F.col("width"), -1)
+    h = edge(at(2), at(4), F.col("height"), 1) - edge(at(2), at(4), F.col("height"), -1)
+    fine = b.where(F.forall(F.slice("v", 2, 4), lambda x: ~F.isnan(x) & (F.abs(x) < 1e9))).select(w.alias("w"), h.alias("h"), F.when(at(4) > 0, at(3) / at(4)).otherwise(0.0).alias("aspect"))
+    n = lambda test: F.count(F.when(test, 1))
+    stats = [f(k).alias(f"{name}_{k}") for k in ("w", "h") for name, f in (("least", F.min), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("most", F.max))]
+    a = F.col("aspect")
+    return fine.agg(F.count("*").alias("n"), *stats, n(a < 1).alias("tall"), n((a >= 1) & (a <= 4)).alias("mid"), n(a > 4).alias("wide"))

@@ -100,3 +100,17 @@ def match_detections(predicted: DataFrame, truth: DataFrame, image: str = "image
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in rest)], names=[image, "tp", "fp", "fn"])
 
     return p.join(t, image, "full_outer").select(image, "p", "t").mapInArrow(run, f"{image} {key}, tp BIGINT, fp BIGINT, fn BIGINT")
+
+
+def letter_counts(rows: DataFrame, by: str, text: str = "text", outside: str = "[^A-Za-z0-9/ ]") -> DataFrame:
+    """Per group ``(n, with_letter, out_of_vocabulary)`` of the texts that aren't null: those with a letter of any script, and
+    those with a character that the recogniser doesn't know."""
+    r, t = rows.where(F.col(text).isNotNull()), F.col(text)
+    return r.groupBy(by).agg(F.count("*").alias("n"), F.count(F.when(t.rlike(r"\p{L}"), 1)).alias("with_letter"), F.count(F.when(t.rlike(outside), 1)).alias("out_of_vocabulary"))
+
+
+def class_report(rows: DataFrame, names: list[str], name: str, last: str) -> DataFrame:
+    """``(class_name, n, last)`` of each of ``names``: numbers are null for a class that no row has, which isn't a count of 0."""
+    dim = rows.sparkSession.createDataFrame([(f,) for f in names], "class_name STRING")
+    m = rows.groupBy(F.col(name).alias("class_name")).agg(F.count("*").alias("n"), F.max(last).alias("last"))
+    return dim.join(m, "class_name", "left")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import Scratch
+from ..vocab import SAMPLE_SOURCES, SPLITS
+from .grouping import global_rank
+
 # Decisions that a log may hold.
 STATUSES = ["verified", "skipped", "unreadable"]
 
@@ -37,16 +41,31 @@ def keyed_order(seed: int, *cols: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]), 256)
 
 
-def round_robin(items: DataFrame, source: str, key: str, seed: int = 42) -> DataFrame:
+def round_robin(items: DataFrame, source: str, key: str, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """``items`` with ``depth`` (place within the source, from 1) and ``source_order``: reading by both takes one item
-    of each source per round. Sources of any size: depth comes from a window of one source, which Spark spills."""
-    w = Window.partitionBy(source).orderBy("_o", key)
-    return items.withColumn("_o", keyed_order(seed, source, key)).withColumn("depth", F.row_number().over(w)).withColumn("source_order", keyed_order(seed, source)).drop("_o")
+    of each source per round.
+
+    All items are range-partitioned by source and order at once and numbered by the sizes of the partitions, so a source that holds
+    a third of them is spread over a third of the tasks; its first number (one row per source) is taken off."""
+    scratch = scratch or Scratch(items.sparkSession, "queue")
+    name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))  # null is a source of its own
+    keyed = items.withColumn("_src", name).withColumn("_o", keyed_order(seed, source, key))
+    ranked = scratch.keep(global_rank(keyed, ["_src", "_o", key], scratch, "_n"), "ranked")
+    first = ranked.groupBy("_src").agg(F.min("_n").alias("_first"))
+    out = ranked.join(F.broadcast(first) if first.count() <= SOURCES else first, "_src")
+    return out.withColumn("depth", F.col("_n") - F.col("_first") + 1).withColumn("source_order", keyed_order(seed, source)).drop("_src", "_o", "_n", "_first")
+
+
+#: Sources up to which the table of first numbers is broadcast.
+SOURCES = 100_000
 
 
 def representative_sample(items: DataFrame, source: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` items, one per source and round; all items if there are fewer. The size is the feature."""
-    return round_robin(items, source, key, seed).orderBy("depth", "source_order").limit(n)
+    """``n`` items, one per source and round; all items if there are fewer. The size is the feature: of a source no more than ``n``
+    can be in it, and a task keeps only those before anything is shuffled."""
+    w = Window.partitionBy(source).orderBy("_o", key)
+    few = items.withColumn("_o", keyed_order(seed, source, key)).withColumn("depth", F.row_number().over(w)).where(F.col("depth") <= n)
+    return few.withColumn("source_order", keyed_order(seed, source)).drop("_o").orderBy("depth", "source_order").limit(n)
 
 
 def kth_per_group(rows: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
@@ -64,3 +83,16 @@ def balance(rows: DataFrame, a: str, b: str, expect_a: list[str], expect_b: list
     spark = rows.sparkSession
     x = spark.createDataFrame([(i, j) for i in expect_a for j in expect_b], f"{a} STRING, {b} STRING")
     return x.join(rows.groupBy(a, b).agg(F.count("*").alias("n")), [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def in_both(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The distinct values, null left out, that both sides have."""
+    one = lambda df: df.where(F.col(column).isNotNull()).select(column)
+    return one(a).intersect(one(b))
+
+
+def sample_problems(text: Column, source: Column, split: Column) -> Column:
+    """Codes of what keeps a sample from being taken: empty_text, invalid_source, invalid_split. Nulls are invalid."""
+    bad = lambda test, code: F.when(F.coalesce(test, F.lit(True)), code)
+    codes = [bad(F.trim(text) == "", "empty_text"), bad(~source.isin(SAMPLE_SOURCES), "invalid_source"), bad(~split.isin(SPLITS), "invalid_split")]
+    return F.filter(F.array(*codes), lambda x: x.isNotNull())

@@ -38,3 +38,14 @@ def top_sizes(images: DataFrame, k: int = 10) -> DataFrame:
 def aspect_histogram(images: DataFrame) -> DataFrame:
     rows = images.where("width > 0 and height > 0")
     return rows.groupBy(aspect_bucket(F.col("width"), F.col("height")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def numeric_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Per group ``(n, low, middle, high)``, null values left out. ``middle`` is the median, halfway between the two middle values of
+    an even number; it is merged from counts per distinct value, which partial aggregation makes before the shuffle."""
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.percentile(value, F.lit(0.5)).alias("middle"), F.max(value).alias("high"))
+
+
+def index_rollup(rows: DataFrame, by: list[str], size: str) -> DataFrame:
+    """``(by, n, size)``: entries and their total size per combination of keys; null keys are ''."""
+    return rows.groupBy(*[F.coalesce(k, F.lit("")).alias(k) for k in by]).agg(F.count("*").alias("n"), F.sum(size).alias(size))

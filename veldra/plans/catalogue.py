@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..functions.normal import name_key, place_key, sha_key, split_name
 from ..operators import audit, conversion, documents, grouping, inventory, labels, metrics, pairing, queues, statistics, synthetic
 from ..storage import Scratch
-from ..vocab import ALPHABET, CLASS_MAP, DETECTOR, FIELDS, SAMPLE_SOURCES, SPLITS
+from ..vocab import ALPHABET, CLASS_MAP, DETECTOR, FIELDS, SPLITS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,9 +110,7 @@ def listing_changes(s, d):
 @query(f"""WITH i AS ({_IMAGES}), n AS (SELECT label_path, count(*) AS n FROM (SELECT DISTINCT label_path, line, raw FROM label_lines) WHERE trim(raw, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY label_path)
     SELECT image_id, label_path, coalesce(n, 0) AS n_lines, CASE WHEN label_path IS NULL THEN 'missing_label_file' END AS issue FROM i LEFT JOIN n USING (label_path)""")
 def image_records_with_labels(s, d):
-    n = t(s, d, "label_lines").select("label_path", "line", "raw").distinct().where(X.strip(c("raw")) != "").groupBy("label_path").agg(F.count("*").alias("n"))
-    j = images(s, d).join(n, "label_path", "left")
-    return j.select("image_id", "label_path", F.coalesce("n", lit(0)).alias("n_lines"), F.when(c("label_path").isNull(), "missing_label_file").alias("issue"))
+    return labels.records_with_labels(images(s, d), t(s, d, "label_lines")).select("image_id", "label_path", "n_lines", "issue")
 
 
 @query("""SELECT split, sample_id, text FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sample_id, created_at, text) AS n FROM recognition_samples WHERE split IN ('train', 'valid', 'test')) WHERE n <= 20""")
@@ -165,8 +163,9 @@ def clipped_boxes(s, d):
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 3 OR l_quantity < 10 THEN 'reversed' END AS problem FROM lineitem WHERE l_linenumber < 3 OR l_quantity < 10""")
 def reversed_boxes(s, d):
-    bad = (c("l_linenumber") < 3) | (c("l_quantity") < 10)
-    return t(s, d, "lineitem").where(bad).select("l_orderkey", "l_linenumber", lit("reversed").alias("problem"))
+    """Boxes from (3, 10) to line number and quantity."""
+    problem = G.box_problem(lit(3), lit(10), c("l_linenumber"), c("l_quantity"))
+    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", problem.alias("problem")).where("problem is not null")
 
 
 _VALUES = ", ".join(f"('{k}', '{f}')" for k, fs in FIELDS.items() for f in fs)
@@ -182,8 +181,7 @@ _DET = ", ".join(f"('{f}', {i})" for i, f in enumerate(DETECTOR))
 
 @query(f"SELECT field_name, id AS class_id, count(*) AS n FROM recognition_samples LEFT JOIN (VALUES {_DET}) AS v(f, id) ON f = field_name GROUP BY field_name, id")
 def detector_ids(s, d):
-    ids = F.create_map(*[x for i, f in enumerate(DETECTOR) for x in (lit(f), lit(i))])
-    return t(s, d, "recognition_samples").select("field_name", F.try_element_at(ids, c("field_name")).alias("class_id")).groupBy("field_name", "class_id").agg(F.count("*").alias("n"))
+    return t(s, d, "recognition_samples").select("field_name", documents.detector_id(c("field_name")).alias("class_id")).groupBy("field_name", "class_id").agg(F.count("*").alias("n"))
 
 
 _WS = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
@@ -390,17 +388,12 @@ def class_remap(s, d):
 @query(_LINES + """, k AS (SELECT label_path, coalesce(bool_or(class_id = 4), false) AS has4, list_sort(list_distinct(list(class_id) FILTER (class_id <> 4))) AS others FROM c WHERE kept GROUP BY label_path)
     SELECT CASE WHEN len(coalesce(others, [])) = 0 THEN 'alone' WHEN list_has_all(others, [0, 1, 2, 3]) THEN 'with all' WHEN others = [0] THEN 'with 0' ELSE 'other' END AS companions, count(*) AS n_files FROM k WHERE has4 GROUP BY 1""")
 def class_four_companions(s, d):
-    k = _checked(s, d).where("kept").groupBy("label_path").agg(F.bool_or(c("class_id") == 4).alias("has4"), F.array_sort(F.array_remove(F.collect_set("class_id"), 4)).alias("o")).where("has4")
-    four = F.array(*[lit(i).cast("bigint") for i in range(4)])
-    kind = F.when(F.size("o") == 0, "alone").when(F.size(F.array_except(four, c("o"))) == 0, "with all").when(c("o") == F.array(lit(0).cast("bigint")), "with 0").otherwise("other")
-    return k.groupBy(kind.alias("companions")).agg(F.count("*").alias("n_files"))
+    return labels.companions(_checked(s, d))
 
 
 @query(_LINES + """ SELECT bool_and(v IS NOT NULL AND len(v) >= 5 AND loads) AS fits, count(*) AS n_lines FROM c""")
 def label_format_fits(s, d):
-    k = _checked(s, d)
-    ok = c("v").isNotNull() & (F.size("v") >= 5) & ~F.array_contains("issues", "invalid_class_id")
-    return k.agg(F.bool_and(ok).alias("fits"), F.count("*").alias("n_lines"))
+    return labels.format_fits(_checked(s, d))
 
 
 # ---- statistics
@@ -432,7 +425,7 @@ def aspect_buckets(s, d):
 
 @query("SELECT l_returnflag, count(*) AS n, min(l_quantity) AS low, median(l_quantity) AS middle, max(l_quantity) AS high FROM lineitem GROUP BY l_returnflag")
 def quantity_statistics(s, d):
-    return t(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.percentile("l_quantity", lit(0.5)).alias("middle"), F.max("l_quantity").alias("high"))
+    return statistics.numeric_summary(t(s, d, "lineitem"), "l_returnflag", "l_quantity")
 
 
 # ---- identity numbers, dates, text
@@ -574,9 +567,8 @@ def field_issues(s, d):
 @query(f"""SELECT sample_id, CASE WHEN NOT (sample_id % 9 = 8 AND field_name IS NULL) AND id_name IS DISTINCT FROM field_name THEN 'unknown_class' WHEN sample_id % 7 < 2 THEN 'empty_crop' END AS problem
     FROM recognition_samples LEFT JOIN (VALUES {_DET}) AS v(id_name, id) ON id = sample_id % 9 - CASE WHEN sample_id % 9 = 8 THEN 9 ELSE 0 END""")
 def region_problems(s, d):
-    names = F.create_map(*[x for i, f in enumerate(DETECTOR) for x in (lit(i), lit(f))])
     k = F.when(c("sample_id") % 9 == 8, lit(-1)).otherwise(c("sample_id") % 9).cast("int")
-    return t(s, d, "recognition_samples").select("sample_id", documents.region_problem(k, c("field_name"), F.try_element_at(names, k), c("sample_id") % 7, lit(9)).alias("problem"))
+    return t(s, d, "recognition_samples").select("sample_id", documents.region_problem(k, c("field_name"), documents.detector_name(k), c("sample_id") % 7, lit(9)).alias("problem"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, o_orderstatus, count(*) OVER (PARTITION BY l_orderkey) AS n_items FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
@@ -617,8 +609,7 @@ def word_edits(s, d):
 
 @query(f"""SELECT field_name, count(*) AS n, count(*) FILTER (regexp_matches(text, '\\p{{L}}')) AS with_letter, count(*) FILTER (regexp_matches(text, '[^A-Za-z0-9/ ]')) AS out_of_vocabulary FROM recognition_samples WHERE text IS NOT NULL GROUP BY field_name""")
 def letter_and_vocabulary(s, d):
-    r = t(s, d, "recognition_samples").where("text is not null")
-    return r.groupBy("field_name").agg(F.count("*").alias("n"), F.count(F.when(c("text").rlike(r"\p{L}"), 1)).alias("with_letter"), F.count(F.when(c("text").rlike("[^A-Za-z0-9/ ]"), 1)).alias("out_of_vocabulary"))
+    return metrics.letter_counts(t(s, d, "recognition_samples"), "field_name")
 
 
 def _values(s, d):
@@ -661,9 +652,7 @@ def detection_matches(s, d):
 
 @query(f"""SELECT f AS class_name, n, last FROM (VALUES {_DET}) AS v(f, id) LEFT JOIN (SELECT field_name, count(*) AS n, max(sample_id) AS last FROM recognition_samples GROUP BY field_name) ON field_name = f""")
 def class_report(s, d):
-    dim = s.createDataFrame([(f,) for f in DETECTOR], "class_name STRING")
-    m = t(s, d, "recognition_samples").groupBy(c("field_name").alias("class_name")).agg(F.count("*").alias("n"), F.max("sample_id").alias("last"))
-    return dim.join(m, "class_name", "left")
+    return metrics.class_report(t(s, d, "recognition_samples"), DETECTOR, "field_name", "sample_id")
 
 
 # ---- logs, queues, samples
@@ -731,8 +720,8 @@ def balance_grid(s, d):
 
 @query("""SELECT text FROM recognition_samples WHERE split = 'train' AND field_name IN ('name', 'fathers_name') AND text IS NOT NULL INTERSECT SELECT text FROM recognition_samples WHERE split IN ('valid', 'test') AND field_name IN ('name', 'fathers_name')""")
 def names_in_both(s, d):
-    r = t(s, d, "recognition_samples").where(c("field_name").isin("name", "fathers_name") & c("text").isNotNull())
-    return r.where("split = 'train'").select("text").intersect(r.where(c("split").isin("valid", "test")).select("text"))
+    r = t(s, d, "recognition_samples").where(c("field_name").isin("name", "fathers_name"))
+    return queues.in_both(r.where("split = 'train'"), r.where(c("split").isin("valid", "test")), "text")
 
 
 @query("SELECT image_path, count(DISTINCT sample_id) AS n FROM recognition_samples WHERE image_path IS NOT NULL GROUP BY image_path HAVING count(DISTINCT sample_id) > 1")
@@ -743,9 +732,8 @@ def multiple_references(s, d):
 @query("""SELECT sample_id, concat_ws(',', CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_text' END, CASE WHEN coalesce(source NOT IN ('synthetic', 'real'), true) THEN 'invalid_source' END, CASE WHEN coalesce(split NOT IN ('train', 'valid', 'test'), true) THEN 'invalid_split' END) AS problems FROM recognition_samples
     WHERE text IS NULL OR trim(text) = '' OR coalesce(source NOT IN ('synthetic', 'real'), true) OR coalesce(split NOT IN ('train', 'valid', 'test'), true)""")
 def sample_rejects(s, d):
-    bad = lambda test, code: F.when(F.coalesce(test, lit(True)), code)
-    codes = F.filter(F.array(bad(F.trim(c("text")) == "", "empty_text"), bad(~c("source").isin(SAMPLE_SOURCES), "invalid_source"), bad(~c("split").isin(SPLITS), "invalid_split")), lambda x: x.isNotNull())
-    return t(s, d, "recognition_samples").select("sample_id", codes.alias("p")).where(F.size("p") > 0).select("sample_id", F.array_join("p", ",").alias("problems"))
+    p = queues.sample_problems(c("text"), c("source"), c("split"))
+    return t(s, d, "recognition_samples").select("sample_id", p.alias("p")).where(F.size("p") > 0).select("sample_id", F.array_join("p", ",").alias("problems"))
 
 
 # ---- conversion, candidates, batches, reports
@@ -806,7 +794,7 @@ def json_documents(s, d):
 
 @query("SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY 1, 2")
 def index_rollup(s, d):
-    return t(s, d, "documents").groupBy(F.coalesce("source", lit("")).alias("source"), F.coalesce("lang", lit("")).alias("lang")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+    return statistics.index_rollup(t(s, d, "documents"), ["source", "lang"], "n_chars")
 
 
 @query("""SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, CAST(sum(CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS BIGINT) AS squares, count(*) FILTER (l_quantity < l_linenumber) AS narrow,

@@ -32,6 +32,27 @@ def hot_join(big: DataFrame, unique: DataFrame, key: str, n: str, total: int, mo
     return cold.unionByName(big.join(hot.drop(n), key, inner))
 
 
+def hot_keys(rows: DataFrame, key: str, total: int, n: str | None = None, most: int | None = None) -> list:
+    """The fewer than HOT_PARTS keys with more than ``hot_limit(total)`` of the ``total`` rows. ``n``: ``rows`` are keys with their
+    numbers of rows, of which ``most`` is the largest; otherwise ``rows`` are counted, if any key can be hot at all."""
+    limit = hot_limit(total)
+    if total <= limit or (most is not None and most <= limit):
+        return []
+    counted = rows.select(key, F.col(n).alias("_n")) if n else rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return [r[0] for r in counted.where(F.col("_n") > limit).select(key).collect()]
+
+
+def keyed_join(big: DataFrame, unique: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``unique`` (one row per key) on a number ``key`` whose hot values are known: rows of those stay where they
+    are and meet the hot rows of ``unique`` by broadcast. ``how``: inner, left, left_semi or left_anti; null keys match nothing
+    and are kept by left and left_anti."""
+    if not hot:
+        return big.join(unique, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    cold = big.where(~is_hot).join(unique.where(~is_hot), key, how)
+    return cold.unionByName(big.where(is_hot).join(F.broadcast(unique.where(is_hot)), key, how))
+
+
 def salt(parts: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
 
@@ -40,9 +61,8 @@ def hot_lookup(big: DataFrame, unique: DataFrame, key: str, scratch, how: str =
     """``hot_join`` that counts the rows of each key of ``big`` itself; ``scratch`` keeps the counted table.
     ``how``: inner or left_semi. Null keys match nothing and take no part."""
     rows = big.where(F.col(key).isNotNull())
-    counted = scratch.keep(rows.groupBy(key).agg(F.count("*").alias("_n")).join(unique, key), "counted")
-    total, most = counted.agg(F.sum("_n"), F.max("_n")).first()
-    return hot_join(rows, counted, key, "_n", total or 0, most or 0, how)
+    counted, f = scratch.measured(rows.groupBy(key).agg(F.count("*").alias("_n")).join(unique, key), "counted", total=F.sum("_n"), most=F.max("_n"))
+    return hot_join(rows, counted, key, "_n", f["total"] or 0, f["most"] or 0, how)
 
 
 #: Rows of a result that one task makes for a key.

@@ -12,7 +12,7 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _ROOTS: dict[str, str] = {}
 
@@ -98,6 +98,15 @@ class Scratch:
             self.drop(replaces)
         return out
 
+    def measured(self, df: DataFrame, tag: str, replaces: DataFrame | None = None, **facts: Column) -> tuple[DataFrame, dict]:
+        """``keep`` with aggregates of the table, collected by the tasks that write it: no other pass reads it. What the tasks
+        of the last stage observe counts once whatever is run again."""
+        seen = Observation(f"veldra-{uuid.uuid4().hex}")
+        aggregates = [c.alias(k) for k, c in facts.items()]
+        out = self.keep(df.observe(seen, *aggregates), tag, replaces)
+        got = dict(seen.get)
+        return out, got if got.keys() >= facts.keys() else out.agg(*aggregates).first().asDict()
+
     def drop(self, df: DataFrame) -> None:
         at = getattr(df, "_veldra_scratch", None)
         if at and at[1] in self._paths:
