@@ -27,9 +27,8 @@ def match_edges(images: DataFrame, pairs: DataFrame, groups: DataFrame, scratch:
     said = said.join(a, "u", "left_semi").join(b, "v", "left_semi")
     lists = groups.where("members is not null").select(F.struct(F.coalesce("group_id", F.lit("")).alias("g"), F.xxhash64("members").alias("h")).alias("key"), F.explode(F.array_distinct("members")).alias("u"))
     lists = scratch.keep(lists.where("u is not null").distinct().join(a, "u", "left_semi"), "lists")
-    heads = scratch.keep(lists.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")), "heads")
-    total, most = heads.agg(F.sum("n"), F.max("n")).first()
-    listed = hot_join(lists, heads, "key", "n", total or 0, most).select("u", "v").where("u <> v")
+    heads, f = scratch.measured(lists.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")), "heads", total=F.sum("n"), most=F.max("n"))
+    listed = hot_join(lists, heads, "key", "n", f["total"] or 0, f["most"] or 0).select("u", "v").where("u <> v")
     return said.unionByName(listed)
 
 

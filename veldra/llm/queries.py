@@ -24,6 +24,15 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(splits.record_components(_table(spark, d, "image_records"), Scratch(spark, "p1")))
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_shares(p1_splits(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each image with its component, without the split, which hangs on a hash."""
+    return splits.record_components(_table(spark, d, "image_records"), Scratch(spark, "p1"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     t = [_table(spark, d, x) for x in ("image_records", "match_pairs", "source_groups")]
     return match_groups.tied_images(*t, Scratch(spark, "p3"))
@@ -105,7 +114,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_groups, p4_found, p4_report, p4_containment, p4_members, p6_found, p6_repeats, p7_ids, p8_mix, p8_sample, p9_found, p9_mentions, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p1_groups, p3_found, p3_groups, p4_found, p4_report, p4_containment, p4_members, p6_found, p6_repeats, p7_ids, p8_mix, p8_sample, p9_found, p9_mentions, p9_redacted)
 }
 
 # Stand-ins and split words as in functions.normal, letters and digits only.
@@ -145,6 +154,7 @@ _P4 = f"""WITH r AS (SELECT DISTINCT image_id, {_SPLIT} AS split, {_SHA} AS sha,
 SQL: dict[str, str] = {
     "p1_found": f"""{_P1}, f AS (SELECT component FROM c JOIN r USING (image_id) GROUP BY component HAVING count(DISTINCT split) > 1)
         SELECT image_id FROM c JOIN f USING (component)""",
+    "p1_groups": f"{_P1} SELECT image_id, component FROM c",
     "p3_found": f"{_P3} SELECT image_id, group_key FROM c WHERE n > 1",
     "p3_groups": f"{_P3} SELECT image_id, group_key FROM c",
     "p4_found": f"""{_P4} SELECT DISTINCT least(t.image_id, v.image_id) AS image_id_a, greatest(t.image_id, v.image_id) AS image_id_b FROM t JOIN v

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import name_key, split_name
-from ..skew import hot_join
+from ..skew import hot_join, hot_keys, keyed_join
 from ..storage import Scratch
 from .graph import star_components
 
@@ -26,20 +26,21 @@ def record_components(records: DataFrame, scratch: Scratch, keys: tuple[str, ...
     rows = records.where("image_id is not null")
     named = [F.struct(F.lit(i).alias("k"), name_key(F.col(c)).alias("name")) for i, c in enumerate(keys)]
     pairs = rows.select("image_id", F.explode(F.array(*named)).alias("x")).select("image_id", "x.k", "x.name").where("name is not null")
-    pairs = scratch.keep(pairs.distinct(), "pairs")
+    pairs = scratch.keep(pairs.distinct().select("image_id", F.struct("k", "name").alias("key")), "pairs")
     # the least id that has a key stands for the key: exact, no hash of names is taken for an id
-    heads = scratch.keep(pairs.groupBy("k", "name").agg(F.min("image_id").alias("node"), F.count("*").alias("n")).withColumn("key", F.struct("k", "name")).select("key", "node", "n"), "heads")
-    total, most = heads.agg(F.sum("n"), F.max("n")).first()
-    nodes = scratch.keep(hot_join(pairs.select("image_id", F.struct("k", "name").alias("key")), heads, "key", "n", total or 0, most).select("image_id", "node").distinct(), "nodes", replaces=pairs)
-    first = nodes.groupBy("image_id").agg(F.min("node").alias("v"), F.max("node").alias("u"), F.count("*").alias("c"))
-    first = scratch.keep(first, "first")
+    heads, f = scratch.measured(pairs.groupBy("key").agg(F.min("image_id").alias("node"), F.count("*").alias("n")), "heads", total=F.sum("n"), most=F.max("n"))
+    tied = hot_join(pairs, heads, "key", "n", f["total"] or 0, f["most"] or 0).select("image_id", "node")
+    # at most one group and one source of each delivery: deliveries of one id are pre-aggregated to its distinct nodes
+    nodes, f = scratch.measured(tied.groupBy("image_id", "node").agg(F.lit(1).alias("one")).select("image_id", "node"), "nodes", pairs, total=F.count("*"))
+    first, g = scratch.measured(nodes.groupBy("image_id").agg(F.min("node").alias("v"), F.max("node").alias("u"), F.count("*").alias("c")), "first", most=F.max("c"))
     edges = first.where("u <> v").select("u", "v")
-    more = first.where("c > 2").select("image_id", "v").join(nodes, "image_id").select(F.col("node").alias("u"), "v")
-    stars = star_components(edges.unionByName(more), scratch)
+    if (g["most"] or 0) > 2:
+        hot = hot_keys(first, "image_id", f["total"], "c", g["most"])
+        edges = edges.unionByName(keyed_join(nodes, first.where("c > 2").select("image_id", "v"), "image_id", hot).select(F.col("node").alias("u"), "v"))
+    stars = star_components(edges, scratch)
     # a record's component is that of any of its nodes; a node without edges is its own
-    uses = scratch.keep(first.groupBy("v").agg(F.count("*").alias("n")).join(stars.select(F.col("id").alias("v"), "component"), "v", "left").select("v", F.coalesce("component", "v").alias("component"), "n"), "uses")
-    total, most = uses.agg(F.sum("n"), F.max("n")).first()
-    tied = hot_join(first.select("image_id", "v"), uses, "v", "n", total or 0, most).select("image_id", "component")
+    uses, f = scratch.measured(first.groupBy("v").agg(F.count("*").alias("n")).join(stars.select(F.col("id").alias("v"), "component"), "v", "left").select("v", F.coalesce("component", "v").alias("component"), "n"), "uses", total=F.sum("n"), most=F.max("n"))
+    tied = hot_join(first.select("image_id", "v"), uses, "v", "n", f["total"] or 0, f["most"] or 0).select("image_id", "component")
     alone = rows.select("image_id").distinct().join(first.select("image_id"), "image_id", "left_anti").select("image_id", F.col("image_id").alias("component"))
     out = scratch.keep(tied.unionByName(alone), "components")
     scratch.only(out)
@@ -65,6 +66,16 @@ def straddling_records(records: DataFrame, scratch: Scratch, keys: tuple[str, ..
     bit = F.coalesce(*[F.when(split_name(F.col("raw_split")) == s, F.lit(1 << i)) for i, s in enumerate(SPLITS)], F.lit(0))
     marks = records.where("image_id is not null").groupBy("image_id").agg(F.bit_or(bit).alias("bits"))
     rows = comps.join(marks, "image_id")
-    tied = scratch.keep(rows.groupBy("component").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("n")), "bits")
-    total, most = tied.agg(F.sum("n"), F.max("n")).first()
-    return hot_join(comps, tied.where("bit_count(bits) >= 2").select("component", "n"), "component", "n", total or 0, most, "left_semi").select("image_id")
+    tied, f = scratch.measured(rows.groupBy("component").agg(F.bit_or("bits").alias("bits"), F.count("*").alias("n")), "bits", total=F.sum("n"), most=F.max("n"))
+    return hot_join(comps, tied.where("bit_count(bits) >= 2").select("component", "n"), "component", "n", f["total"] or 0, f["most"] or 0, "left_semi").select("image_id")
+
+
+def split_shares(assigned: DataFrame, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
+    """``(split, target_share, n_records, actual_share, largest_component)`` of ``assign_splits``: components stay whole, so a large
+    one can keep a split from its share, which shows here."""
+    goal = assigned.sparkSession.createDataFrame(list(zip(SPLITS, map(float, proportions))), "split STRING, target_share DOUBLE")
+    sizes = assigned.groupBy("component", "split").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("n_records"), F.max("n").alias("largest_component"))
+    everything = sizes.agg(F.sum("n_records").alias("of"))
+    zero = F.lit(0).cast("bigint")
+    j = goal.join(sizes, "split", "left").join(F.broadcast(everything), how="cross")
+    return j.select("split", "target_share", F.coalesce("n_records", zero).alias("n_records"), F.coalesce(F.try_divide(F.coalesce("n_records", zero), "of"), F.lit(0.0)).alias("actual_share"), F.coalesce("largest_component", zero).alias("largest_component"))
