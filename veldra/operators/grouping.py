@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,22 +21,62 @@ def exact_duplicates(records: DataFrame, digest: str, split: str) -> DataFrame:
     return g.agg(F.count("*").alias("n_rows"), F.countDistinct(split).alias("n_splits")).where("n_rows > 1")
 
 
-def _bands(h: Column, n: int) -> Column:
-    """``n`` disjoint bit bands of a 64-bit hash, each as (number, bits)."""
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+#: A key with more hashes than this is split if it is among the HOT_KEYS largest.
+HOT_KEY, HOT_KEYS = 2_000, 10_000
+
+
+def _key_bands(n: int, most: int) -> int:
+    """Bands that a key is made of: as few as give about as many keys as there are hashes, so a hash meets few others by chance."""
+    return next((k for k in range(1, 5) if 2 ** (64 * k / (most + k)) >= n), 5)
+
+
+class _Bands:
+    """A 64-bit hash cut into ``most + k`` bands. Hashes that differ in at most ``most`` bits agree in ``k`` bands at least, so they
+    share the key of one combination of ``k``. Of what is left, cut into halves of bands and those into ``most + 1`` groups, they
+    agree in one group at least: its bits split a hot key."""
+
+    def __init__(self, most: int, k: int):
+        n = most + k
+        self.edges = [64 * i // (2 * n) for i in range(2 * n + 1)]
+        self.combos = list(combinations(range(n), k))
+        self.groups = []
+        for c in self.combos:
+            rest = [j for i in range(n) if i not in c for j in (2 * i, 2 * i + 1)]
+            cuts = [len(rest) * i // (most + 1) for i in range(most + 2)]
+            self.groups.append([rest[x:y] for x, y in zip(cuts, cuts[1:])])
+
+    def _bits(self, h: str, halves: str) -> str:
+        """SQL for the bits of the halves in a list, put behind each other."""
+        starts, widths = (f"array({', '.join(map(str, x))})" for x in (self.edges[:-1], [b - a for a, b in zip(self.edges, self.edges[1:])]))
+        return f"aggregate({halves}, 0L, (acc, i) -> shiftleft(acc, {widths}[i]) | (shiftrightunsigned({h}, {starts}[i]) & (shiftleft(1L, {widths}[i]) - 1)))"
+
+    def keys(self, h: str) -> Column:
+        each = [f"shiftleft({p}L, 40) | {self._bits(h, 'array(' + ', '.join(str(j) for i in c for j in (2 * i, 2 * i + 1)) + ')')}" for p, c in enumerate(self.combos)]
+        return F.expr(f"array({', '.join(each)})")
+
+    def fine(self, h: str, key: str) -> Column:
+        of = ", ".join("array(" + ", ".join("array(" + ", ".join(map(str, g)) + ")" for g in groups) + ")" for groups in self.groups)
+        bits = self._bits(h, "g")
+        return F.expr(f"transform(array({of})[int(shiftrightunsigned({key}, 40))], (g, no) -> shiftleft(bigint(no + 1), 48) | {bits})")
 
 
 def near_duplicates(hashes: DataFrame, most: int) -> DataFrame:
     """``(a, b, bits)`` of the pairs of distinct hashes ``(h)`` at most ``most`` bits apart, a < b.
 
-    Lossless banding: hashes that differ in at most t bits agree in one of t + 1 disjoint bands. Equal hashes are
-    one value here, so groups of copies are never expanded into pairs.
+    Lossless: such hashes share a key of several bands (``_Bands``); the more hashes there are, the more bands a key has, so the
+    pairs to look at grow with the hashes and not with their square. Keys that very many hashes share are split by the other
+    bits. Equal hashes are one value here, so groups of copies are never expanded into pairs.
     """
-    d = hashes.where("h is not null").distinct()
-    x = d.select("h", F.explode(_bands(F.col("h"), most + 1)).alias("band"))
-    a, b = x.select(F.col("h").alias("a"), "band"), x.select(F.col("h").alias("b"), "band")
-    near = a.join(b, "band").where(F.col("a") < F.col("b")).withColumn("bits", hamming(F.col("a"), F.col("b"))).where(F.col("bits") <= most)
+    d = hashes.where("h is not null").select("h").distinct()
+    bands = _Bands(most, _key_bands(d.count(), most))
+    x = d.select("h", F.explode(bands.keys("h")).alias("key"))
+    hot = [r.key for r in x.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+    on = ["key"]
+    if hot:
+        known = F.broadcast(d.sparkSession.createDataFrame([(k, True) for k in hot], "key BIGINT, hot BOOLEAN"))
+        f = F.when(F.col("hot"), bands.fine("h", "key")).otherwise(F.array(F.lit(0).cast("bigint")))
+        x, on = x.join(known, "key", "left").withColumn("f", F.explode(f)).drop("hot"), ["key", "f"]
+    near = x.withColumnRenamed("h", "a").join(x.withColumnRenamed("h", "b"), on).where(F.col("a") < F.col("b")).withColumn("bits", hamming(F.col("a"), F.col("b"))).where(F.col("bits") <= most)
     return near.select("a", "b", "bits").distinct()
 
 
