@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions.normal import place_key
-from ..operators import audit, conversion, documents, inventory, labels, pairing
+from ..operators import audit, benchmark, conversion, documents, inventory, labels, pairing
 from ..vocab import CLASS_MAP, DETECTOR, FIELDS, SPLITS
 from . import catalogue as K
 
@@ -171,3 +171,34 @@ def json_all_documents(s, d):
     items = t(s, d, "lineitem").select(c("l_orderkey").alias("o_orderkey"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"))
     n = documents.nest(t(s, d, "orders").select("o_orderkey", F.when(c("o_orderkey") % 3 != 0, c("o_orderstatus")).alias("status")), items, "o_orderkey", ["line"])
     return n.select("o_orderkey", documents.to_json(F.struct("status", "items")).alias("document"))
+
+
+# ---- benchmark
+
+
+@query(f"""WITH v AS (SELECT {K._PLACE} AS path, content, modified_at, file_id FROM small_files),
+    a AS (SELECT path, arg_min(sha256(content), (modified_at, file_id)) AS sha, arg_max(sha256(content), (modified_at, file_id)) AS now FROM v GROUP BY path)
+    SELECT path AS sample_id, path, CASE WHEN sha = now THEN 'ok' ELSE 'digest_mismatch' END AS status FROM a""")
+def crop_checks(s, d):
+    """The last version of each file against the digest of its first."""
+    f = t(s, d, "small_files").select(place_key(c("file_path")).alias("path"), c("content").cast("binary").alias("content"), F.struct("modified_at", "file_id").alias("o")).where("path is not null")
+    first = f.groupBy("path").agg(F.min_by(F.sha2("content", 256), "o").alias("sha256")).withColumn("sample_id", c("path"))
+    return benchmark.verified_crops(first, _last_files(s, d)).select("sample_id", "path", "status")
+
+
+@query("""WITH p AS (SELECT p_brand, levenshtein(CASE WHEN p_partkey % 7 = 0 THEN '' ELSE reverse(p_name) END, p_name) AS e, length(p_name) AS l, CAST(CASE WHEN p_partkey % 7 = 0 THEN '' ELSE reverse(p_name) END = p_name AS INT) AS x FROM part)
+    SELECT p_brand AS field, count(*) AS n, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(l) AS BIGINT) AS ref_chars, CAST(sum(x) AS BIGINT) AS exact, sum(e) / sum(l) AS cer, sum(x) / count(*) AS exact_share FROM p GROUP BY GROUPING SETS ((), (p_brand))""")
+def benchmark_scores(s, d):
+    """Every seventh sample has no prediction."""
+    p = t(s, d, "part").select(c("p_partkey").alias("sample_id"), c("p_brand").alias("field"), c("p_name").alias("reference"))
+    k = benchmark.evaluate(p.where("sample_id % 7 <> 0").select("sample_id", F.reverse("reference").alias("prediction")), p)
+    return k.select("field", "n", "edits", "ref_chars", "exact", "cer", "exact_share")
+
+
+@query("""WITH p AS (SELECT p_partkey AS image_id, p_size AS width, p_size * 2 AS height FROM part) SELECT image_id, CAST(p.width AS DOUBLE) / 100 AS confidence, CASE WHEN width % 3 = 0 THEN NULL ELSE 'x' || width END AS text,
+    CAST(height AS DOUBLE) / 100 AS detection_confidence, CAST(width AS DOUBLE) / 100 AS recognition_confidence FROM p""")
+def merged_regions(s, d):
+    r = t(s, d, "part").select(c("p_partkey").alias("image_id"), F.struct(lit(1).alias("class_id"), lit("name").alias("class_name"), ((c("p_size") * 2).cast("double") / 100).alias("confidence")).alias("region"),
+        F.struct(F.when(c("p_size") % 3 != 0, F.concat(lit("x"), c("p_size"))).alias("text"), (c("p_size").cast("double") / 100).alias("confidence")).alias("result"))
+    m = X.merged_region(c("region"), c("result"))
+    return r.select("image_id", *[m[k].alias(k) for k in ("confidence", "text", "detection_confidence", "recognition_confidence")])

@@ -120,6 +120,8 @@ def inspect(data: bytes) -> dict:
             out |= {"format": "PNG", "width": w, "height": h, "channels": _CHANNELS[data[25]], "dhash": gradient_hash(decode_png(data))}
         elif data[:2] == b"\xff\xd8":
             out |= {"format": "JPEG"} | _jpeg(data)
+            if not _whole(data):  # pixels aren't decoded, but a file that was cut off has no end
+                out |= {"ok": False, "error": "Truncated"}
         elif data[:2] == b"BM":
             w, h, _, bits = struct.unpack("<iiHH", data[18:30])
             out |= {"format": "BMP", "width": w, "height": abs(h), "channels": bits // 8}
@@ -145,6 +147,29 @@ def _jpeg(data: bytes) -> dict:
     raise ValueError("no frame")
 
 
+def _whole(data: bytes) -> bool:
+    """Whether a JPEG file has a scan and an end after it."""
+    scan = data.find(b"\xff\xda")
+    return scan >= 0 and data.rfind(b"\xff\xd9") > scan
+
+
+def upright(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
+    """Pixels as they are meant to be seen, by the orientation 1 to 8 of the file's tags; others leave them as they are."""
+    k = (orientation or 1) - 1
+    if not 0 < k < 8:
+        return pixels
+    if k >= 4:
+        pixels = pixels.swapaxes(0, 1)
+    down, across = ((0, 0), (0, 1), (1, 1), (1, 0))[k % 4]
+    return pixels[:: -1 if down else 1, :: -1 if across else 1]
+
+
+def as_rgb(pixels: np.ndarray) -> np.ndarray:
+    """Three channels of bytes: grey repeated, transparency dropped."""
+    a = pixels[..., None] if pixels.ndim == 2 else pixels
+    return np.repeat(a[..., :1], 3, axis=2) if a.shape[2] < 3 else a[..., :3]
+
+
 def _orientation(tiff: bytes) -> int | None:
     e = "<" if tiff[:2] == b"II" else ">"
     at = struct.unpack(e + "I", tiff[4:8])[0]
