@@ -111,7 +111,10 @@ def overlap_pairs(images: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS)
     # each near training hash of an evaluation hash, then the images of both
     sides = hot_expand(mine.withColumnRenamed("h", "e"), near.select("e", "t"), "e", scratch)
     like = hot_expand(a.select("x", "t").distinct(), sides.select("y", "t"), "t", scratch).select("x", "y")
-    return exact.unionByName(like).where("x <> y").select(F.least("x", "y").alias("image_id_a"), F.greatest("x", "y").alias("image_id_b")).distinct()
+    pairs = exact.unionByName(like).where("x <> y").select(F.least("x", "y").alias("image_id_a"), F.greatest("x", "y").alias("image_id_b"))
+    out = scratch.keep(pairs.distinct(), "pairs")
+    scratch.only(out)
+    return out
 
 
 def overlap_classes(images: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
