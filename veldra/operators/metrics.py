@@ -69,8 +69,9 @@ def detection_counts(matches: DataFrame) -> DataFrame:
 
 
 def _greedy(predicted: list[dict], truth: list[dict], least: float) -> int:
-    free, hits = [(t["x1"], t["y1"], t["x2"], t["y2"]) for t in sorted(truth, key=lambda t: t["idx"])], 0
-    for p in sorted(predicted, key=lambda p: (-p["confidence"], p["idx"])):
+    box = lambda t: (t["x1"], t["y1"], t["x2"], t["y2"])
+    free, hits = [box(t) for t in sorted(truth, key=lambda t: (t["idx"], *box(t)))], 0
+    for p in sorted(predicted, key=lambda p: (-p["confidence"], p["idx"], *box(p))):
         best, at = least, None
         for i, (x1, y1, x2, y2) in enumerate(free):
             inter = max(min(p["x2"], x2) - max(p["x1"], x1), 0) * max(min(p["y2"], y2) - max(p["y1"], y1), 0)
@@ -85,7 +86,7 @@ def _greedy(predicted: list[dict], truth: list[dict], least: float) -> int:
 
 def match_detections(predicted: DataFrame, truth: DataFrame, image: str = "image_id", least: float = 0.5) -> DataFrame:
     """``(image, tp, fp, fn)``: predictions in falling confidence each take the free true box of the highest overlap of
-    at least ``least``, the last of equals. The boxes of one image (a page of fields, some dozens) are one row of two
+    at least ``least``, the last of equals. Equal confidences go by ``idx`` and then by the corners, so that the order of rows doesn't matter. The boxes of one image (a page of fields, some dozens) are one row of two
     arrays; images are spread over all tasks and matched in Arrow batches."""
     box = ["idx", "x1", "y1", "x2", "y2"]
     p = predicted.groupBy(image).agg(F.collect_list(F.struct("confidence", *box)).alias("p"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_split
 
 
+#: Names of a kind that are put into the plan.
+MOST_WORDS = 10_000
+
+
 def draw(seed: int, what: str, key: Column, n: int) -> Column:
     """A number below ``n`` that depends on seed, purpose and key alone."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), key), F.lit(n)).cast("int")
@@ -28,6 +32,8 @@ def cased(text: Column, how: Column) -> Column:
 def records(spark: SparkSession, n: int, given: list[str], surnames: list[str], seed: int = 42) -> DataFrame:
     """``n`` identities with texts of all fields; a record's numbers belong to its own surname, and all records of one
     full name are in one split. The card numbers carry no valid check digit on purpose."""
+    if max(len(given), len(surnames)) > MOST_WORDS:
+        raise ValueError(f"names go into the plan, so there may be {MOST_WORDS} of a kind at most")
     k = F.col("id")
     pick = lambda words, what: F.get(F.array(*map(F.lit, words)), draw(seed, what, k, len(words)))
     r = spark.range(n).select("id", pick(given, "given").alias("given"), pick(surnames, "surname").alias("surname"), pick(given, "father").alias("father"))

@@ -602,7 +602,8 @@ def text_scores(s, d):
     return metrics.error_counts(t(s, d, "part").select("p_brand", F.reverse("p_name").alias("prediction"), c("p_name").alias("reference")), "p_brand")
 
 
-@query()
+@query(r"""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(reverse(p_name), '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(p_name, '\s+'), lambda x: x <> '') AS b FROM part)
+    SELECT p_partkey, CAST(list_reduce(range(1, len(a) + 1), lambda r, i: list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, least(acc[j] + 1, r[j + 1] + 1, r[j] + CASE WHEN a[i] = b[j] THEN 0 ELSE 1 END)), [i]), range(0, len(b) + 1))[len(b) + 1] AS BIGINT) AS edits, len(b) AS ref_words FROM w""")
 def word_edits(s, d):
     return metrics.word_edits(t(s, d, "part").select("p_partkey", F.reverse("p_name").alias("prediction"), c("p_name").alias("reference")), "p_partkey")
 
@@ -643,7 +644,12 @@ def detection_scores(s, d):
     return metrics.detection_counts(t(s, d, "part").groupBy("p_brand").agg(n(z % 3 == 0).alias("tp"), n(z % 3 == 1).alias("fp"), n((z % 3 == 2) & (z > 40)).alias("fn")))
 
 
-@query()
+@query("""WITH p AS (SELECT l_orderkey AS image_id, list({'x1': l_quantity, 'x2': l_quantity + 10} ORDER BY l_partkey % 100 DESC, l_linenumber, l_quantity) AS p FROM lineitem GROUP BY l_orderkey),
+    t AS (SELECT l_orderkey AS image_id, list({'idx': n, 'x1': l_quantity + 2, 'x2': l_quantity + 2 + 9} ORDER BY n) AS t FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n FROM lineitem WHERE l_partkey % 3 <> 0) GROUP BY l_orderkey),
+    j AS (SELECT image_id, p, coalesce(t, []) AS t FROM p LEFT JOIN t USING (image_id)),
+    m AS (SELECT image_id, len(p) AS np, len(t) AS nt, list_reduce(p, lambda s, b: list_transform([list_filter(list_transform(s, lambda f: {'idx': f.idx, 'o': (greatest(least(b.x2, f.x2) - greatest(b.x1, f.x1), 0) * 10) / (100 + 90 - greatest(least(b.x2, f.x2) - greatest(b.x1, f.x1), 0) * 10)}), lambda y: y.o >= 0.5)],
+        lambda k: CASE WHEN len(k) = 0 THEN s ELSE list_filter(s, lambda f: f.idx <> list_filter(k, lambda y: y.o = list_max(list_transform(k, lambda z: z.o)))[-1].idx) END)[1], t) AS free FROM j)
+    SELECT image_id, nt - len(free) AS tp, np - (nt - len(free)) AS fp, len(free) AS fn FROM m""")
 def detection_matches(s, d):
     b = t(s, d, "lineitem").select(c("l_orderkey").alias("image_id"), c("l_linenumber").alias("idx"), c("l_quantity").alias("q"), c("l_partkey").alias("k"))
     box = lambda x, e: [x.alias("x1"), lit(0.0).alias("y1"), (x + e).alias("x2"), lit(10.0).alias("y2")]
