@@ -45,7 +45,7 @@ def dhash_key(dhash: Column) -> Column:
 
 def place_key(path: Column) -> Column:
     """The place that a path names: slashes, ``.``, ``..``, repeated and outer separators and outer blanks aside.
-    Letter case matters. A null path names no place."""
+    Letter case matters. A part that climbs above the root is left out, so ``../a`` is ``a``. A null path names no place."""
     parts = F.split(F.regexp_replace(F.regexp_replace(path, r"^\s+|\s+$", ""), r"[\\/]+", "/"), "/")
     kept = F.filter(parts, lambda p: (F.trim(p) != "") & (F.trim(p) != "."))
     walked = F.aggregate(

@@ -42,6 +42,7 @@ def source_stem(stem: Column) -> Column:
 def redact_token(t: Column) -> Column:
     """Whole numbers of up to three digits and decimals stay; else letters become X or x and digits #."""
     masked = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\p{Lu}", "X"), r"(?!X)\p{L}", "x"), r"\p{Nd}", "#")
+    # fixed value: the pattern of tokens that stay
     return F.when(t.rlike(r"^-?(\d{1,3}|\d*\.\d+(e-?\d+)?)$"), t).otherwise(masked)
 
 
@@ -80,6 +81,7 @@ def _digit(c: Column, i: Column | int) -> Column:
 def _dihedral() -> tuple[list[int], list[int]]:
     """Multiplication of the dihedral group of order ten and the powers of the position permutation, both flat."""
     mul = [(a + b) % 5 if a < 5 and b < 5 else 5 + (a + b) % 5 if a < 5 else 5 + (a - b) % 5 if b < 5 else (a - b) % 5 for a in range(10) for b in range(10)]
+    # fixed value: the position permutation
     step, rows = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4], [list(range(10))]
     for _ in range(7):
         rows.append([step[x] for x in rows[-1]])
@@ -101,6 +103,7 @@ def verhoeff_valid(number: Column) -> Column:
 
 def verhoeff_digit(number: Column) -> Column:
     """The check digit to append; null for anything but ASCII digits."""
+    # fixed value: the inverse of each element of the group
     inverse = F.array(*map(F.lit, [0, 4, 3, 2, 1, 5, 6, 7, 8, 9]))
     return F.when(number.rlike(r"\A[0-9]+\z"), F.get(inverse, _checksum(number, 1)))
 

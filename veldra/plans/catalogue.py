@@ -13,6 +13,10 @@ from ..functions.normal import name_key, place_key, sha_key, split_name
 from ..operators import audit, conversion, documents, grouping, inventory, labels, metrics, pairing, queues, statistics, synthetic
 from ..storage import Scratch
 from ..vocab import ALPHABET, CLASS_MAP, DETECTOR, FIELDS, SPLITS
+from .sql import NUM as _NUM
+from .sql import PLACE as _PLACE
+from .sql import SHA as _SHA
+from .sql import SPLIT as _SPLIT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,10 +38,6 @@ def t(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-_PLACE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(file_path, '^\s+|\s+$', '', 'g'), '[\\/]+', '/', 'g'), '^(\./)+', ''), '(/\.)+/', '/', 'g'), '[^/]+/\.\./', '', 'g'), '^/', '')"""
-_WORD = "regexp_replace(lower(raw_split), '[^a-z]+', '', 'g')"
-_SPLIT = f"CASE WHEN {_WORD} IN ('train', 'training', 'trn') THEN 'train' WHEN {_WORD} IN ('valid', 'validation', 'val', 'devvalid', 'dev') THEN 'valid' WHEN {_WORD} IN ('test', 'testing', 'tst') THEN 'test' END"
-_SHA = "CASE WHEN regexp_matches(lower(sha256), '^\\s*(sha-?256\\s*[:=-]?)?\\s*[0-9a-f]{64}\\s*$') THEN regexp_extract(lower(sha256), '([0-9a-f]{64})\\s*$', 1) END"
 _IMAGES = f"SELECT DISTINCT image_id, rel_path, {_SPLIT} AS split, {_SHA} AS sha, dhash, width, height, label_path FROM image_records"
 
 
@@ -326,7 +326,6 @@ def manifest(s, d):
 
 # ---- label profile
 
-_NUM = r"[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]|[iI][nN][fF])"
 _LINES = f"""WITH t0 AS (SELECT row_id, label_path, line, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS k FROM label_lines),
     t1 AS (SELECT *, array_to_string(k, ' ') AS norm FROM t0 WHERE len(k) > 0),
     t2 AS (SELECT *, line > min(line) OVER (PARTITION BY label_path, norm) AS dup, CASE WHEN len(list_filter(k, lambda x: NOT regexp_full_match(x, '{_NUM}'))) = 0 THEN list_transform(k, lambda x: TRY_CAST(regexp_replace(x, '^\\+', '') AS DOUBLE)) END AS v FROM t1),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import compaction
 from ..sources import feeds
 from ..storage import Scratch
+from .sql import NUM as _NUM
+from .sql import PLACE as _PLACE
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -82,10 +84,7 @@ def p5_latest(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_annotations, p2_manifest, p2_feed, p5_found, p5_groups, p5_bundles, p5_written, p5_frames, p5_index, p5_latest)}
 
-_NUM = r"[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[nN][aA][nN]|[iI][nN][fF])"
 _FIELD = r'([^",]*|"([^"]|"")*")'
-#: A place: separators made one, outer blanks off, then single dots and climbing parts taken out step by step.
-_PLACE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(file_path, '^\s+|\s+$', '', 'g'), '[\\/]+', '/', 'g'), '^(\./)+', ''), '(/\.)+/', '/', 'g'), '[^/]+/\.\./', '', 'g'), '^/', '')"""
 
 _LABELS = f"""
   WITH t AS (SELECT row_id, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS k FROM label_lines),
