@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.sql import SHA as _SHA
+from ..plans.sql import SPLIT as _SPLIT
 from ..storage import Scratch, scratch_root, stamp
 from . import incremental, match_groups, mixing, overlap, pii, splits, tokens
 
@@ -127,9 +129,6 @@ def _name(c: str) -> str:
     return f"CASE WHEN {n} NOT IN {_STAND_INS} THEN {n} END"
 
 
-_WORD = "regexp_replace(lower(raw_split), '[^a-z]+', '', 'g')"
-_SPLIT = f"CASE WHEN {_WORD} IN ('train', 'training', 'trn') THEN 'train' WHEN {_WORD} IN ('valid', 'validation', 'val', 'devvalid', 'dev') THEN 'valid' WHEN {_WORD} IN ('test', 'testing', 'tst') THEN 'test' END"
-_SHA = "CASE WHEN regexp_matches(lower(sha256), '^\\s*(sha-?256\\s*[:=-]?)?\\s*[0-9a-f]{64}\\s*$') THEN regexp_extract(lower(sha256), '([0-9a-f]{64})\\s*$', 1) END"
 
 _P1 = f"""WITH RECURSIVE r AS (SELECT image_id, {_name("group_id")} AS g, {_name("roboflow_source")} AS s, {_SPLIT} AS split FROM image_records),
     k AS (SELECT image_id, 'g' || g AS k FROM r WHERE g IS NOT NULL UNION SELECT image_id, 's' || s FROM r WHERE s IS NOT NULL),
