@@ -146,6 +146,35 @@ def crop_shapes(s, d):
     return labels.crop_shapes(K._checked(s, d), z)
 
 
+# ---- geometry and dates of the labels themselves
+
+
+@query(K._LINES + """, g AS (SELECT row_id, label_path, box, v, list_transform(range(2, len(v), 2), lambda i: v[i]) AS xs, list_transform(range(3, len(v) + 1, 2), lambda i: v[i]) AS ys FROM c
+      WHERE kept AND len(list_filter(co, lambda x: isnan(x) OR isinf(x))) = 0),
+    z AS (SELECT label_path, max(width) AS width, max(height) AS height FROM image_records WHERE label_path IS NOT NULL AND width > 0 AND height > 0 GROUP BY label_path),
+    k AS (SELECT row_id, label_path, CASE WHEN box THEN v[2] - v[4] / 2 ELSE list_min(xs) END AS x1, CASE WHEN box THEN v[3] - v[5] / 2 ELSE list_min(ys) END AS y1, CASE WHEN box THEN v[2] + v[4] / 2 ELSE list_max(xs) END AS x2,
+      CASE WHEN box THEN v[3] + v[5] / 2 ELSE list_max(ys) END AS y2, CASE WHEN NOT box THEN round(abs(list_sum(list_transform(range(1, len(xs) + 1), lambda i: xs[i] * ys[i % len(xs) + 1] - xs[i % len(xs) + 1] * ys[i]))), 9) END AS twice_area FROM g)
+    SELECT row_id, x1, y1, x2, y2, x1 * width AS ax1, y1 * height AS ay1, x2 * width AS ax2, y2 * height AS ay2, twice_area FROM k LEFT JOIN z USING (label_path)""")
+def label_geometry(s, d):
+    """Corners of every box and polygon, in parts of the image and in pixels, and twice the area of polygons."""
+    k = K._checked(s, d).where("kept").where(~F.exists(labels.coordinates(c("v")), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+    at = lambda i: F.get("v", lit(i))
+    points = G.points_of(F.when(c("kind") == "polygon", labels.coordinates(c("v"))))
+    box, outline = G.corners(at(1), at(2), at(3), at(4)), G.enclosing(points)
+    names = ("x1", "y1", "x2", "y2")
+    one = [F.when(c("kind") == "bbox", a).otherwise(b).alias(n) for n, a, b in zip(names, box, outline)]
+    z = t(s, d, "image_records").where("label_path is not null and width > 0 and height > 0").groupBy("label_path").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    j = k.select("row_id", "label_path", *one, F.round(G.twice_area(points), 9).alias("twice_area")).join(z, "label_path", "left")
+    both = G.to_absolute(F.array(F.struct(c("x1").alias("x"), c("y1").alias("y")), F.struct(c("x2").alias("x"), c("y2").alias("y"))), c("width"), c("height"))
+    return j.select("row_id", *names, *[both[i][a].alias(f"a{a}{i + 1}") for i in (0, 1) for a in ("x", "y")], "twice_area")
+
+
+@query(f"""WITH r AS (SELECT sample_id, text AS v FROM recognition_samples WHERE field_name = 'date_of_birth') SELECT sample_id, v AS text, {K._DOB_CASE.replace("trim(v)", "trim(v, ' ' || chr(9) || chr(10) || chr(13))").replace("1997-06-30", "2020-06-30")} AS problem FROM r""")
+def sample_birth_dates(s, d):
+    r = t(s, d, "recognition_samples").where("field_name = 'date_of_birth'")
+    return r.select("sample_id", "text", X.birth_date_problem(c("text"), F.to_date(lit("2020-06-30"))).alias("problem"))
+
+
 # ---- whole values
 
 
