@@ -77,7 +77,8 @@ _NOT_AFTER = re.compile(r"[ \t]*(?:bytes|of the trace|px|stands for)\b", re.I)
 _MORE = re.compile(rf"(?:^|[^\w.\-/]){D}{{4}} $")
 #: What is scanned for first: the sign of an e-mail, a postal code, and runs of digits with what a number may begin with.
 _AT_SIGN = re.compile(_AT, re.I)
-_CODE = re.compile(rf"(?<!{D})[1-9\u0967-\u096f]{D}{{2}}\s?{D}{{3}}(?!{D})")
+_AT_HINT = re.compile(r"@|\(\s?at\s?[)\]}]|\[\s?at\s?[)\]}]|\{\s?at\s?[)\]}]", re.I)
+_CODE = re.compile(rf"[1-9\u0967-\u096f](?<!{D}{D}){D}{{2}}\s?{D}{{3}}(?!{D})")
 _RUN = re.compile(rf"[(+]*{D}+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _SAMPLE = re.compile(r"(?:[AXLNP]{5}[ .\-]?(?:9999|0000|1234)[ .\-]?[AXLNPZ])$", re.I)
@@ -149,12 +150,13 @@ class NameParts:
 
     def of(self, word: str) -> str | None:
         """given, surname, either with a question mark if only the ending tells, or None. Answers are kept for up to 200,000 words."""
-        t = word.lower()
-        if t not in self.known:
+        kind = self.known.get(word, "")
+        if kind == "":
             if len(self.known) >= 200_000:
                 self.known.clear()
-            self.known[t] = self._of(t) or self.ends_like(t)
-        return self.known[t]
+            t = word.lower()
+            kind = self.known[word] = self._of(t) or self.ends_like(t)
+        return kind
 
     def _of(self, t: str) -> str | None:
         if t in self.kind:
@@ -224,8 +226,10 @@ class Taken:
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Each sign of an e-mail has one place where its local part can begin."""
     at = 0
-    for sign in _AT_SIGN.finditer(text):
+    for sign in _AT_HINT.finditer(text):
         a = sign.start()
+        if a > at and text[a - 1].isspace():
+            a -= 1
         while a > at and text[a - 1] in _LOCAL:
             a -= 1
         if a >= at and (m := EMAIL.match(text, a)):
