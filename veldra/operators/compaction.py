@@ -139,11 +139,11 @@ def bundled_pairs(files: DataFrame, packed: DataFrame, scratch: Scratch | None =
     """``(file_id_a, file_id_b)``, a < b, of rows that the bundles hold by members of the same place and digest: the same
     member, or one of each kind where a place is listed under several. Raises if a bundle didn't pass its validation."""
     valid = F.when(F.col("valid"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("invalid bundle "), F.col("bundle"))))
-    m = _pointed(files, packed).select("file_id", F.struct("place", valid.alias("digest")).alias("member"))
-    several = m.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member")
     scratch = scratch or Scratch(files.sparkSession, "pairs")
-    m = scratch.keep(m.join(several, "member", "left_semi"), "relisted")
-    pairs = hot_expand(m.withColumnRenamed("file_id", "file_id_a"), m.withColumnRenamed("file_id", "file_id_b"), "member", scratch)
+    m = scratch.keep(_pointed(files, packed).select("file_id", F.struct("place", valid.alias("digest")).alias("member")), "pointed")
+    several = scratch.keep(m.groupBy("member").agg(F.count("*").alias("_a")).where("_a > 1").withColumn("_b", F.col("_a")), "several")
+    m = m.join(several.select("member"), "member", "left_semi")
+    pairs = hot_expand(m.withColumnRenamed("file_id", "file_id_a"), m.withColumnRenamed("file_id", "file_id_b"), "member", scratch, several)
     return pairs.where("file_id_a < file_id_b").select("file_id_a", "file_id_b").distinct()
 
 

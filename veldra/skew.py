@@ -69,12 +69,13 @@ def hot_lookup(big: DataFrame, unique: DataFrame, key: str, scratch, how: str =
 TASK_PAIRS = 1 << 20
 
 
-def hot_expand(a: DataFrame, b: DataFrame, key: str, scratch) -> DataFrame:
+def hot_expand(a: DataFrame, b: DataFrame, key: str, scratch, sizes: DataFrame | None = None) -> DataFrame:
     """All pairs of rows of ``a`` and ``b`` with an equal ``key`` that isn't null, without a hot task. For joins whose result is
     the pairs of copies themselves: where a key makes more than TASK_PAIRS of them, its rows of the larger side are cut into
-    blocks and those of the smaller side go to each, so the work is spread in proportion to the result. A plain join otherwise."""
+    blocks and those of the smaller side go to each, so the work is spread in proportion to the result. A plain join otherwise.
+    ``sizes (key, _a, _b)``: rows per key of both sides, if known."""
     a, b = a.where(F.col(key).isNotNull()), b.where(F.col(key).isNotNull())
-    n = a.groupBy(key).agg(F.count("*").alias("_a")).join(b.groupBy(key).agg(F.count("*").alias("_b")), key)
+    n = sizes if sizes is not None else a.groupBy(key).agg(F.count("*").alias("_a")).join(b.groupBy(key).agg(F.count("*").alias("_b")), key)
     hot = scratch.keep(n.where(F.col("_a") * F.col("_b").cast("double") > TASK_PAIRS), "hot")
     if hot.isEmpty():
         return a.join(b, key)
