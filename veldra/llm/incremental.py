@@ -102,7 +102,8 @@ class PivotIndex:
         """A folder per batch; in a large one a folder per range (a small one's files are all in folder -1), sorted by key."""
         placed = rows.withColumn("part", F.when(F.col("batch").isin(large), F.col("r")).otherwise(-1) if large else F.lit(-1))
         order = ("batch", "part", "r", key)
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("batch", "part").parquet(f"{self.path}/{part}")
+        spread_ = placed.repartitionByRange(*order) if large else placed.repartition("batch")
+        spread_.sortWithinPartitions(*order).write.mode("append").partitionBy("batch", "part").parquet(f"{self.path}/{part}")
 
     def _stored(self, part: str, schema: str, touched: list[int]) -> DataFrame:
         done, at = self.batches(), f"{self.path}/{part}"
@@ -144,8 +145,7 @@ class PivotIndex:
     def _split(q: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
         """Both sides with the keys that most rows have split by the bytes of the other two words, without loss. A key that isn't
         among the HOT_KEYS largest holds at most that part of all rows."""
-        sizes = rows.join(q.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-        hot = [r.key for r in sizes.where(F.col("n") > HOT_KEY).orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+        hot = _heavy_keys(q, rows)
         if not hot:
             return q, rows, ["r", "key"]
         known = F.broadcast(q.sparkSession.createDataFrame([(k, True) for k in hot], "key BIGINT, hot BOOLEAN"))
@@ -166,10 +166,24 @@ class PivotIndex:
         return rows.groupBy("sha").agg(F.min("first").alias("first")).join(asked, "sha", "left_semi")
 
 
+def _heavy_keys(q: DataFrame, rows: DataFrame) -> list[int]:
+    """The HOT_KEYS largest of the asked keys that have more than HOT_KEY rows. Rows are counted by a hash of their key first, in so
+    many classes that a class is small without such a key: then nothing but those counts is shuffled."""
+    classes = min(max(1 << max(rows.count() // 500, 1).bit_length(), 1 << 12), 1 << 22)
+    keys = rows.select("key", F.pmod(F.xxhash64("key"), F.lit(classes)).alias("c"))
+    heavy = [(r.c,) for r in keys.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("c").limit(HOT_KEYS + 1).collect()]
+    if not heavy:
+        return []
+    if len(heavy) <= HOT_KEYS:
+        keys = keys.join(F.broadcast(q.sparkSession.createDataFrame(heavy, "c BIGINT")), "c", "left_semi")
+    sizes = keys.join(q.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    return [r.key for r in sizes.where(F.col("n") > HOT_KEY).orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+
+
 #: A key with more rows than this is split if it is among the HOT_KEYS largest.
 HOT_KEY, HOT_KEYS = 2_000, 10_000
-#: A batch of at most this many rows isn't spread over folders.
-SMALL_BATCH = 50_000
+#: A batch of at most this many rows is put in order by one task and isn't spread over folders.
+SMALL_BATCH = 200_000
 #: Number of the layout of a stored index; a change of its files or columns raises it.
 LAYOUT = 1
 #: Ranges of digests.
