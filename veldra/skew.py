@@ -57,29 +57,46 @@ def salt(parts: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
 
 
+#: Classes of keys by hash. No key has more rows than its class, so small classes show at little cost that there is no hot key.
+CLASSES = 1 << 14
+
+
+def _by_class(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(CLASSES)).alias("_c")).agg(F.count("*").alias(name))
+
+
 def hot_lookup(big: DataFrame, unique: DataFrame, key: str, scratch, how: str = "inner") -> DataFrame:
     """``hot_join`` that counts the rows of each key of ``big`` itself; ``scratch`` keeps the counted table.
     ``how``: inner or left_semi. Null keys match nothing and take no part."""
     rows = big.where(F.col(key).isNotNull())
+    total, most = _by_class(rows, key, "_n").agg(F.sum("_n"), F.max("_n")).first()
+    if (most or 0) <= hot_limit(total or 0):
+        return rows.join(unique, key, how)
     counted, f = scratch.measured(rows.groupBy(key).agg(F.count("*").alias("_n")).join(unique, key), "counted", total=F.sum("_n"), most=F.max("_n"))
     return hot_join(rows, counted, key, "_n", f["total"] or 0, f["most"] or 0, how)
 
 
 #: Rows of a result that one task makes for a key.
 TASK_PAIRS = 1 << 20
+HOT_PAIRS = 100_000
 
 
 def hot_expand(a: DataFrame, b: DataFrame, key: str, scratch, sizes: DataFrame | None = None) -> DataFrame:
     """All pairs of rows of ``a`` and ``b`` with an equal ``key`` that isn't null, without a hot task. For joins whose result is
     the pairs of copies themselves: where a key makes more than TASK_PAIRS of them, its rows of the larger side are cut into
     blocks and those of the smaller side go to each, so the work is spread in proportion to the result. A plain join otherwise.
-    ``sizes (key, _a, _b)``: rows per key of both sides, if known."""
+    Rows of a side differ; ``sizes (key, _a, _b)``: rows per key of both sides, if known. At most the HOT_PAIRS largest keys are cut, so
+    that they may be broadcast: any other makes less than that part of all pairs."""
     a, b = a.where(F.col(key).isNotNull()), b.where(F.col(key).isNotNull())
+    if sizes is None:
+        most = _by_class(a, key, "_a").join(_by_class(b, key, "_b"), "_c").agg(F.max(F.col("_a") * F.col("_b").cast("double"))).first()[0]
+        if (most or 0) <= TASK_PAIRS:
+            return a.join(b, key)
     n = sizes if sizes is not None else a.groupBy(key).agg(F.count("*").alias("_a")).join(b.groupBy(key).agg(F.count("*").alias("_b")), key)
-    hot = scratch.keep(n.where(F.col("_a") * F.col("_b").cast("double") > TASK_PAIRS), "hot")
+    pairs = F.col("_a") * F.col("_b").cast("double")
+    hot = scratch.keep(n.where(pairs > TASK_PAIRS).orderBy(pairs.desc()).limit(HOT_PAIRS), "hot")
     if hot.isEmpty():
         return a.join(b, key)
-    # fewer hot keys than pairs / TASK_PAIRS: as each is the size of a task, they may be broadcast
     blocks = hot.select(key, F.least(F.greatest("_a", "_b"), F.ceil(F.col("_a") * F.col("_b").cast("double") / TASK_PAIRS).cast("bigint")).alias("_n"), (F.col("_a") >= F.col("_b")).alias("_cut"))
 
     def placed(side: DataFrame, cut: bool) -> DataFrame:
