@@ -231,3 +231,28 @@ def merged_regions(s, d):
         F.struct(F.when(c("p_size") % 3 != 0, F.concat(lit("x"), c("p_size"))).alias("text"), (c("p_size").cast("double") / 100).alias("confidence")).alias("result"))
     m = X.merged_region(c("region"), c("result"))
     return r.select("image_id", *[m[k].alias(k) for k in ("confidence", "text", "detection_confidence", "recognition_confidence")])
+
+
+# ---- the same queries as in the catalogue, whose SQL there covers a part of the table only, beside SQL for the whole
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 30 THEN text ELSE left(text, 14) || '…' || right(text, 15) END AS short FROM documents")
+def ellipsized_whole(s, d):
+    return K.ellipsized(s, d)
+
+
+@query(f"""WITH r AS (SELECT (sample_id - 1) // 4 AS doc_id, field_name AS field, text FROM recognition_samples), y AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'aadhaar' ELSE 'pan' END AS dt FROM r),
+    s AS (SELECT doc_id, field, count(*) AS n, max(CASE WHEN trim(text) <> '' THEN 1 ELSE 0 END) AS ok FROM r WHERE field IS NOT NULL GROUP BY ALL), w AS (SELECT doc_id, f AS field FROM y JOIN (VALUES {_VOCABULARY}) AS v(t, f) ON t = dt)
+    SELECT doc_id, field, 'missing_field' AS issue FROM w LEFT JOIN s USING (doc_id, field) WHERE coalesce(ok, 0) = 0 UNION ALL SELECT doc_id, field, 'unexpected_field' FROM s WHERE (doc_id, field) NOT IN (SELECT doc_id, field FROM w)
+    UNION ALL SELECT doc_id, field, 'duplicate_field' FROM s WHERE n > 1 AND (doc_id, field) IN (SELECT doc_id, field FROM w)""")
+def field_issues_whole(s, d):
+    return K.field_issues(s, d)
+
+
+_POINTS = "list_transform(range({}, 65, 2), lambda i: CAST(floor(embedding[i] * 100) AS DOUBLE))"
+
+
+@query(f"""SELECT vec_id, list_min(xs) AS x1, list_min(ys) AS y1, list_max(xs) AS x2, list_max(ys) AS y2, abs(list_sum(list_transform(range(1, 33), lambda i: xs[i] * ys[i % 32 + 1] - xs[i % 32 + 1] * ys[i]))) AS twice_area
+    FROM (SELECT vec_id, {_POINTS.format(1)} AS xs, {_POINTS.format(2)} AS ys FROM embeddings)""")
+def polygon_boxes_whole(s, d):
+    return K.polygon_boxes(s, d)
