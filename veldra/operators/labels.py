@@ -33,16 +33,23 @@ def _outside(x: Column) -> Column:
     return ~F.isnan(x) & ((x < -EPS) | (x > 1 + EPS))
 
 
-def with_issues(lines: DataFrame, file: str = "label_path", order: str = "line", raw: str = "raw") -> DataFrame:
+def _with_first(t: DataFrame, file: str, order: str) -> DataFrame:
+    """Tokenized lines with ``first_at``, the smallest ``order`` of equal lines of a file; a null file is a file as well."""
+    first = t.groupBy(F.col(file).alias("_file"), F.col("norm").alias("_norm")).agg(F.min(order).alias("first_at"))
+    return t.join(first, F.col(file).eqNullSafe(F.col("_file")) & (F.col("norm") == F.col("_norm"))).drop("_file", "_norm")
+
+
+def with_issues(lines: DataFrame, file: str = "label_path", order: str = "line", raw: str = "raw", duplicates: bool = True) -> DataFrame:
     """Each line with ``issues`` (codes in order of the checks) and ``kept`` (whether an annotation comes of it).
 
     A line that repeats an earlier one of its file, white space aside, is told by the smallest ``order`` of equal
-    lines: an aggregation by file and text, so that a file of any length needs no sorting in one task. A class id that no
+    lines: an aggregation by file and text, so that a file of any length needs no sorting in one task. It is the only thing that
+    moves the lines; without ``duplicates`` repeated lines aren't told and each line is looked at where it is read. A class id that no
     BIGINT holds loads like any other, but ``class_id`` is null, which is a class of its own that nothing maps.
     """
-    t = tokenize(lines, raw).withColumn("norm", F.array_join("tokens", " "))
-    first = t.groupBy(F.col(file).alias("_file"), F.col("norm").alias("_norm")).agg(F.min(order).alias("first_at"))
-    t = t.join(first, F.col(file).eqNullSafe(F.col("_file")) & (F.col("norm") == F.col("_norm"))).drop("_file", "_norm")
+    t = tokenize(lines, raw)
+    if duplicates:
+        t = _with_first(t.withColumn("norm", F.array_join("tokens", " ")), file, order)
     v, c = F.col("v"), coordinates(F.col("v"))
     n = F.size("v") - 1
     whole = ~F.isnan(F.get(v, F.lit(0))) & (F.abs(F.get(v, F.lit(0))) != float("inf")) & (F.get(v, F.lit(0)) == F.floor(F.get(v, F.lit(0)))) & (F.get(v, F.lit(0)) >= 0)
@@ -51,8 +58,8 @@ def with_issues(lines: DataFrame, file: str = "label_path", order: str = "line",
     out = F.exists(c, _outside)
     nn = lambda x: ~F.isnan(x)
     edge = lambda p, s: (nn(p - s / 2) & (p - s / 2 < -EPS)) | (nn(p + s / 2) & (p + s / 2 > 1 + EPS))
-    checks = [
-        ("duplicate_annotation", F.col(order) > F.col("first_at")),
+    checks = [("duplicate_annotation", F.col(order) > F.col("first_at"))] if duplicates else []
+    checks += [
         ("malformed_line", v.isNull()),
         ("invalid_class_id", v.isNotNull() & ~whole),
         ("zero_or_negative_size", box & ((nn(F.get(v, F.lit(3))) & (F.get(v, F.lit(3)) <= 0)) | (nn(F.get(v, F.lit(4))) & (F.get(v, F.lit(4)) <= 0)))),

@@ -342,6 +342,11 @@ def _checked(s, d):
     return labels.with_issues(t(s, d, "label_lines").select("row_id", "label_path", "line", "raw"))
 
 
+def _typed(s, d):
+    """The same without the issue of repeated lines, for queries that don't ask for it."""
+    return labels.with_issues(t(s, d, "label_lines").select("row_id", "label_path", "line", "raw"), duplicates=False)
+
+
 @query(_LINES + """, x AS (SELECT unnest([CASE WHEN dup THEN 'duplicate_annotation' END, CASE WHEN v IS NULL THEN 'malformed_line' END, CASE WHEN v IS NOT NULL AND NOT loads THEN 'invalid_class_id' END, CASE WHEN flat THEN 'zero_or_negative_size' END,
       CASE WHEN (box OR poly) AND outside THEN 'coord_out_of_range' END, CASE WHEN edge THEN 'bbox_outside_image' END, CASE WHEN thin THEN 'zero_area_polygon' END, CASE WHEN loads AND NOT box AND NOT poly THEN 'invalid_token_count' END]) AS code FROM c)
     SELECT code, count(*) AS n_lines FROM x WHERE code IS NOT NULL GROUP BY code""")
@@ -352,12 +357,12 @@ def label_issue_counts(s, d):
 @query(_LINES + """, p AS (SELECT class_id, label_path, count(*) AS k FROM c WHERE kept GROUP BY ALL), f AS (SELECT count(DISTINCT label_path) AS n FROM c)
     SELECT class_id, k AS n_instances, count(*) AS n_files FROM p GROUP BY ALL UNION ALL SELECT class_id, 0, n - count(*) FROM p, f GROUP BY class_id, n HAVING n > count(*)""")
 def label_class_profile(s, d):
-    return labels.instances_per_file(_checked(s, d))
+    return labels.instances_per_file(_typed(s, d))
 
 
 @query(_LINES + " SELECT class_id, count(DISTINCT label_path) AS n_files, (SELECT count(DISTINCT label_path) FROM c) AS of_files FROM c WHERE kept GROUP BY class_id")
 def class_presence(s, d):
-    return labels.class_presence(_checked(s, d))
+    return labels.class_presence(_typed(s, d))
 
 
 @query(_LINES + """, p AS (SELECT label_path, class_id, count(*) AS n, max(CASE WHEN poly THEN 1 ELSE 0 END) AS poly FROM a WHERE kept GROUP BY ALL),
@@ -370,7 +375,7 @@ def class_presence(s, d):
     UNION ALL SELECT DISTINCT label_path, 'polygon_annotation' FROM p WHERE poly = 1 UNION ALL SELECT label_path, 'malformed_annotation' FROM f WHERE bad = 1
     UNION ALL SELECT label_path, 'annotation_count_' || n_ann FROM f, u WHERE n_ann <> usual""")
 def label_anomalies(s, d):
-    return labels.anomalies(_checked(s, d), Scratch(s, "anomalies"))
+    return labels.anomalies(_typed(s, d), Scratch(s, "anomalies"))
 
 
 _MAP = ", ".join(f"({a}, {'NULL' if b is None else b})" for a, b in CLASS_MAP["aadhaar"].items())
@@ -381,18 +386,18 @@ _MAP = ", ".join(f"({a}, {'NULL' if b is None else b})" for a, b in CLASS_MAP["a
     SELECT target, reason, count(*) AS n FROM r GROUP BY target, reason""")
 def class_remap(s, d):
     m = s.createDataFrame(list(CLASS_MAP["aadhaar"].items()), "class_id BIGINT, target INT")
-    return labels.remap_classes(_checked(s, d), m, ["class_id"]).groupBy("target", "reason").agg(F.count("*").alias("n"))
+    return labels.remap_classes(_typed(s, d), m, ["class_id"]).groupBy("target", "reason").agg(F.count("*").alias("n"))
 
 
 @query(_LINES + """, k AS (SELECT label_path, coalesce(bool_or(class_id = 4), false) AS has4, list_sort(list_distinct(list(class_id) FILTER (class_id <> 4))) AS others FROM c WHERE kept GROUP BY label_path)
     SELECT CASE WHEN len(coalesce(others, [])) = 0 THEN 'alone' WHEN list_has_all(others, [0, 1, 2, 3]) THEN 'with all' WHEN others = [0] THEN 'with 0' ELSE 'other' END AS companions, count(*) AS n_files FROM k WHERE has4 GROUP BY 1""")
 def class_four_companions(s, d):
-    return labels.companions(_checked(s, d))
+    return labels.companions(_typed(s, d))
 
 
 @query(_LINES + """ SELECT bool_and(v IS NOT NULL AND len(v) >= 5 AND loads) AS fits, count(*) AS n_lines FROM c""")
 def label_format_fits(s, d):
-    return labels.format_fits(_checked(s, d))
+    return labels.format_fits(_typed(s, d))
 
 
 # ---- statistics
@@ -752,7 +757,7 @@ def _map(s, d):
     g AS (SELECT label_path, NOT bool_or(bad) AS ok, count(*) FILTER (NOT bad AND target IS NOT NULL) AS f, count(*) FILTER (NOT bad AND target IS NULL) AS x FROM j GROUP BY label_path)
     SELECT label_path, ok, CASE WHEN ok THEN f ELSE 0 END AS n_fields, CASE WHEN ok THEN x ELSE 0 END AS n_excluded FROM g""")
 def converted_files(s, d):
-    return conversion.convert_files(_checked(s, d), _map(s, d)).drop("fields")
+    return conversion.convert_files(_typed(s, d), _map(s, d)).drop("fields")
 
 
 _SIDE = "least(CAST({f} AS DOUBLE), ({c} + {s} / 2) * {f}) - greatest(0.0, ({c} - {s} / 2) * {f})"
@@ -765,13 +770,13 @@ _SIDE = "least(CAST({f} AS DOUBLE), ({c} + {s} / 2) * {f}) - greatest(0.0, ({c}
 def candidate_reasons(s, d):
     i = t(s, d, "image_records").where("label_path is not null").groupBy("label_path").agg(F.max("width").alias("width"), F.max("height").alias("height"))
     names = F.create_map(*[x for n, f in enumerate(DETECTOR) for x in (lit(n).cast("bigint"), lit(f))])
-    k = conversion.candidates(_checked(s, d), i, names)
+    k = conversion.candidates(_typed(s, d), i, names)
     return k.groupBy("reason", F.when(c("reason").isNull(), c("field")).alias("field")).agg(F.count("*").alias("n"))
 
 
 @query(_LINES + """, p AS (SELECT label_path, class_id, count(*) AS n FROM c WHERE kept GROUP BY ALL) SELECT label_path, string_agg(class_id || CASE WHEN n > 1 THEN 'x' || n ELSE '' END, ', ' ORDER BY class_id) AS caption FROM p GROUP BY label_path""")
 def file_captions(s, d):
-    return conversion.captions(_checked(s, d))
+    return conversion.captions(_typed(s, d))
 
 
 @query("""SELECT (sample_id - 1) // 32 AS batch, string_agg(CASE WHEN text <> '' THEN text END, '' ORDER BY sample_id, created_at) AS chars, CAST(sum(length(text)) AS BIGINT) AS n FROM (SELECT DISTINCT sample_id, max(text) AS text, max(created_at) AS created_at FROM recognition_samples GROUP BY sample_id) WHERE text IS NOT NULL GROUP BY 1""")

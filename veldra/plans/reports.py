@@ -132,7 +132,7 @@ _BOXES = K._LINES + """, b AS (SELECT class_id, label_path, v[2] AS cx, v[3] AS
 @query(_BOXES + """ SELECT class_id, count(*) AS n_boxes, round(stddev_pop(cx), 6) AS cx_std, round(stddev_pop(cy), 6) AS cy_std, round(stddev_pop(w), 6) AS w_std, round(stddev_pop(h), 6) AS h_std,
     round(median(CASE WHEN h <> 0 THEN w / h END), 6) AS aspect_median FROM b GROUP BY class_id""")
 def box_spread(s, d):
-    b = labels.box_spread(K._checked(s, d))
+    b = labels.box_spread(K._typed(s, d))
     return b.select("class_id", "n_boxes", *[F.round(k, 6).alias(k) for k in ("cx_std", "cy_std", "w_std", "h_std", "aspect_median")])
 
 
@@ -143,7 +143,7 @@ def box_spread(s, d):
       count(*) FILTER (a < 1) AS tall, count(*) FILTER (a >= 1 AND a <= 4) AS mid, count(*) FILTER (a > 4) AS wide FROM k""")
 def crop_shapes(s, d):
     z = t(s, d, "image_records").where("label_path is not null and width > 0").groupBy("label_path").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    return labels.crop_shapes(K._checked(s, d), z)
+    return labels.crop_shapes(K._typed(s, d), z)
 
 
 # ---- geometry and dates of the labels themselves
@@ -157,7 +157,7 @@ def crop_shapes(s, d):
     SELECT row_id, x1, y1, x2, y2, x1 * width AS ax1, y1 * height AS ay1, x2 * width AS ax2, y2 * height AS ay2, twice_area FROM k LEFT JOIN z USING (label_path)""")
 def label_geometry(s, d):
     """Corners of every box and polygon, in parts of the image and in pixels, and twice the area of polygons."""
-    k = K._checked(s, d).where("kept").where(~F.exists(labels.coordinates(c("v")), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+    k = K._typed(s, d).where("kept").where(~F.exists(labels.coordinates(c("v")), lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
     at = lambda i: F.get("v", lit(i))
     points = G.points_of(F.when(c("kind") == "polygon", labels.coordinates(c("v"))))
     box, outline = G.corners(at(1), at(2), at(3), at(4)), G.enclosing(points)
