@@ -41,3 +41,24 @@ def test_report_names_what_sets_the_total(spark):
     assert sample.where("source = 'b' and copies > 3 or source = 'a' and copies > 1").count() == 0 and r["b"].most_copies == 3
     langs = {x.lang for x in mixing.sized(docs, Scratch(spark, "t")).select("lang").distinct().collect()}
     assert langs == {"en", "hi-latn", ""}
+
+
+def test_topics_are_learned_from_every_document(spark):
+    rnd = random.Random(2)
+    words = {"a": "label box polygon class width".split(), "b": "epoch loss step seed rate".split(), "c": "street house door plot colony".split()}
+    rows = [(i, " ".join(rnd.choices(words[k], k=12))) for i, k in enumerate(rnd.choices("abc", weights=(60, 39, 1), k=12_000))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(5)
+    topics = mixing.learn_topics(docs, mixing.vocabulary_folder(), "byte_bpe_50k", k=4)
+    enc = mixing.encoder(mixing.vocabulary_folder())
+    counts = np.stack([np.bincount(np.asarray(enc.encode(t)) % mixing.PLACES, minlength=mixing.PLACES) for _, t in rows])
+    w = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0)))
+    assert np.array_equal(topics.weights, w)
+    x = np.log1p(counts) * w
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # every document is nearest to its own topic, and each topic is the direction of what is nearest to it
+    at = np.argmax(x @ topics.centres.T, axis=1)
+    assert [topics.of(enc.encode(t)) for _, t in rows[:500]] == [f"t{j}" for j in at[:500]] and len(set(at)) == 4
+    own = np.stack([x[at == j].sum(0) for j in range(4)])
+    assert np.abs(own / np.linalg.norm(own, axis=1, keepdims=True) - topics.centres).max() < 0.02
+    told = {r.doc_id: r.topic for r in mixing.sized(docs.selectExpr("doc_id", "'s' AS source", "'en' AS lang", "text"), Scratch(spark, "t")).collect()}
+    assert len(told) == 12_000 and "none" not in told.values()

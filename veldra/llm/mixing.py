@@ -7,14 +7,16 @@ probabilities: systematically along their size within each source, long texts fi
 expected, and no document is drawn more often than its source allows. The order of drawing, the size of the shards in which a
 source is put in order, and which texts count as long change which documents are drawn, not how many tokens.
 
-The table has no topics, so they are learned here: clusters of token counts, fitted on a bounded sample of documents and
-then told for every document in the pass that counts its tokens.
+The table has no topics, so they are learned here: clusters of token counts, fitted on all documents. One pass encodes the
+texts and writes how many tokens of each document fall to each place; the passes of the fit and the one that tells the topics
+read that table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,12 @@ from pyspark.sql.window import Window
 from ..storage import Scratch
 from .tokens import encoder, spread, vocabulary_folder
 
-#: Topics, the documents that they are learned from (a bounded sample by a hash of the id), and the places of hashed tokens.
-TOPICS, FIT_DOCS, PLACES = 6, 10_000, 512
+#: Topics, and the places of hashed tokens.
+TOPICS, PLACES = 6, 512
+#: How places and their numbers are written, documents that are worked on at a time, and the steps of directions.
+PLACE, VALUE, BLOCK, STEPS = np.dtype("<u2"), np.dtype("<i4"), 1_000, 2.0**24
+#: Logarithms of small numbers of tokens.
+LOGS = np.log1p(np.arange(4096.0))
 #: Documents of one source that one task puts in order.
 SHARD = 50_000
 ROUNDS = 500
@@ -49,74 +55,234 @@ def language_key(c: Column) -> Column:
     return F.when(k.rlike("^[a-z]{2,3}([-_][a-z0-9]{2,8})*$"), F.translate(k, "_", "-")).otherwise("")
 
 
+@dataclass
+class Lists:
+    """A list of numbers for each of several documents: how long each is, and the places and values of all, end to end."""
+
+    sizes: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(places: pa.Array, values: pa.Array) -> Lists:
+        """From two binary columns, without copying them."""
+
+        def flat(col: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+            if not len(col):
+                return np.zeros(0, np.int64), np.zeros(0, kind)
+            _, ends, data = col.buffers()
+            ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset : col.offset + len(col) + 1]
+            data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+            return np.diff(ends).astype(np.int64) // kind.itemsize, data.view(kind)
+
+        sizes, place = flat(places, PLACE)
+        return Lists(sizes, place, flat(values, VALUE)[1])
+
+    def columns(self) -> list[pa.Array]:
+        def binary(x: np.ndarray) -> pa.Array:
+            ends = np.concatenate([[0], np.cumsum(self.sizes)]) * x.itemsize
+            return pa.Array.from_buffers(pa.binary(), len(self.sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)])
+
+        return [binary(np.ascontiguousarray(self.place, PLACE)), binary(np.ascontiguousarray(self.value, VALUE))]
+
+    def blocks(self) -> Iterator[tuple[int, Lists]]:
+        """BLOCK documents at a time, with the number of the first."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        for i in range(0, len(self.sizes), BLOCK):
+            j = min(i + BLOCK, len(self.sizes))
+            yield i, Lists(self.sizes[i:j], self.place[ends[i] : ends[j]], self.value[ends[i] : ends[j]])
+
+
+def _counts(ids: list[list[int]]) -> Lists:
+    """The places of each document's tokens, in order, and how many tokens fall to each."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    at = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())) % PLACES + np.repeat(np.arange(len(ids)) * PLACES, sizes)
+    n = np.bincount(at, minlength=len(ids) * PLACES)
+    some = np.flatnonzero(n)
+    return Lists(np.bincount(some // PLACES, minlength=len(ids)), some % PLACES, n[some])
+
+
 @dataclass
 class Topics:
-    """Directions of topics over hashed tokens, and the weight of each place."""
+    """Directions of topics over hashed tokens, and the weight of each place.
+
+    Directions, of topics as of documents, are whole multiples of 2^-24: as whole numbers, their products and the sums of these
+    stay below 2^53 and are exact in doubles, so what is nearest doesn't hang on the order of adding, nor on how documents are
+    spread over tasks."""
 
     centres: np.ndarray
     weights: np.ndarray
 
+    def directions(self, counts: Lists) -> Lists:
+        """Of each document, in steps; without places for a document that has none, as it has no tokens or all have those it has."""
+        n = counts.value.astype(np.int64)
+        v = LOGS[np.minimum(n, len(LOGS) - 1)]
+        if len(many := np.flatnonzero(n >= len(LOGS))):
+            v[many] = np.log1p(n[many])
+        v *= self.weights[counts.place]
+        sizes, place = counts.sizes, counts.place
+        rows = np.flatnonzero(sizes)
+        length = np.zeros(len(sizes))
+        if len(rows):
+            length[rows] = np.sqrt(np.add.reduceat(v * v, (np.cumsum(sizes) - sizes)[rows]))
+        long = np.repeat(length, sizes)
+        if not (keep := long > 0).all():
+            place, v, long, sizes = place[keep], v[keep], long[keep], np.where(length > 0, sizes, 0)
+        return Lists(sizes, place, np.rint(v / long * STEPS).astype(VALUE))
+
+    def nearness(self, x: Lists) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that have a direction, and how near each is to each centre, a row per centre."""
+        rows = np.flatnonzero(x.sizes)
+        starts, place, v = (np.cumsum(x.sizes) - x.sizes)[rows], x.place.astype(np.intp), x.value.astype(np.float64)
+        one, out = np.empty(len(v)), np.empty((len(self.centres), len(rows)))
+        for j, c in enumerate(self.centres * STEPS if len(rows) else ()):
+            np.take(c, place, out=one, mode="clip")  # places are below PLACES; this mode doesn't copy
+            np.add.reduceat(np.multiply(one, v, out=one), starts, out=out[j])
+        return rows, out
+
+    def told(self, counts: Lists) -> np.ndarray:
+        """The number of the topic nearest by angle, the first of equals; -1 for documents without tokens."""
+        out = np.where(counts.sizes > 0, 0, -1)
+        if not len(self.centres):
+            return np.full(len(out), -1)
+        rows, near = self.nearness(self.directions(counts))
+        out[rows] = np.argmax(near, axis=0)
+        return out
+
     def of(self, ids: list[int]) -> str:
-        """The topic nearest by angle, the first of equals; ``none`` for a text without tokens."""
-        if not ids or not len(self.centres):
-            return "none"
-        v = np.log1p(np.bincount(np.asarray(ids) % PLACES, minlength=PLACES)) * self.weights
-        return f"t{int(np.argmax(self.centres @ v))}"
-
-
-def cluster(counts: np.ndarray, k: int = TOPICS, rounds: int = 25) -> Topics:
-    """Spherical k-means of token counts per document, weighted by how few documents have a place. The first centre is the document
-    farthest from the mean, each further one the document farthest from all before: equal input gives equal topics."""
-    df = (counts > 0).sum(0)
-    w = np.log((1 + len(counts)) / (1 + df)).astype(np.float64)
-    x = np.log1p(counts) * w
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)[norm[:, 0] > 0]
-    if not len(x):
-        return Topics(np.zeros((0, counts.shape[1])), w)
-    near = x @ x.mean(0)
-    chosen = [int(np.argmin(near))]
-    near = x @ x[chosen[0]]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    centres = x[chosen]
-    for _ in range(rounds):
-        at = np.argmax(x @ centres.T, axis=1)
-        new = np.stack([x[at == j].sum(0) if (at == j).any() else centres[j] for j in range(len(centres))])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.abs(new - centres).max() < 1e-9:
-            break
-        centres = new
-    return Topics(centres, w)
+        """The topic of one document; ``none`` for a text without tokens."""
+        return _topic_name(int(self.told(_counts([ids]))[0]))
+
 
+def _topic_name(j: int) -> str:
+    return f"t{j}" if j >= 0 else "none"
 
-def learn_topics(rows: DataFrame, folder: str, name: str, seed: int = 42, k: int = TOPICS, fit_docs: int = FIT_DOCS) -> Topics:
-    """Topics of ``rows (doc_id, text)`` learned from about ``fit_docs`` of them, drawn by a hash of the id: the driver receives
-    PLACES counts of each. All documents are then assigned to them."""
-    some = rows.where("doc_id is not null and text <> ''")
-    n = some.count()
-    part = min(1.0, fit_docs / n) if n else 1.0
-    drawn = some.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30))).select("doc_id", "text")
+
+def _totals(lists: DataFrame, add: Callable[[Lists], np.ndarray], slots: int) -> np.ndarray:
+    """Sums over all documents of the whole numbers in ``slots`` places that ``add`` gives for a block of them. They are added by
+    Spark, so the driver receives ``slots`` numbers however many tasks there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, name)
+        out = np.zeros(slots, np.int64)
         for b in batches:
-            counts = [np.bincount(np.asarray(enc.encode(t) or [0]) % PLACES, minlength=PLACES).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.binary())], names=["doc_id", "counts"])
+            for _, x in Lists.of(*b.columns).blocks():
+                out += add(x)
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out[some], pa.int64())], names=["slot", "total"])
 
-    got = sorted((r.doc_id, bytes(r.counts)) for r in spread(drawn).mapInArrow(run, "doc_id BIGINT, counts BINARY").collect())
-    counts = np.frombuffer(b"".join(c for _, c in got), dtype=np.int32).reshape(-1, PLACES) if got else np.zeros((0, PLACES), np.int32)
-    return cluster(counts, k)
+    got = lists.select("places", "numbers").mapInArrow(run, "slot INT, total BIGINT").groupBy("slot").agg(F.sum("total").alias("total")).collect()
+    out = np.zeros(slots, np.int64)
+    out[[r.slot for r in got]] = [r.total for r in got]
+    return out
 
 
-def _sized_batches(folder: str, name: str, topics: Topics):
+def _farthest(directions: DataFrame, topics: Topics) -> np.ndarray:
+    """The direction of the document that is farthest from the nearest of the centres, of equals the one with the least id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for i, x in Lists.of(*b.columns[1:]).blocks():
+                rows, near = topics.nearness(x)
+                if len(rows):
+                    near, rows = near.max(0), rows + i
+                    rows = rows[near == near.min()]
+                    one = min((float(near.min()), int(ids[r]), *(c[int(r)].as_py() for c in b.columns[1:])) for r in rows[ids[rows] == ids[rows].min()])
+                    best = one if best is None else min(best, one)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(best, (pa.float64(), pa.int64(), pa.binary(), pa.binary()))], names=["near", *b.schema.names])
+
+    got = directions.mapInArrow(run, "near DOUBLE, doc_id BIGINT, places BINARY, numbers BINARY").orderBy("near", "doc_id", "places", "numbers").first()
+    out = np.zeros(PLACES)
+    out[np.frombuffer(bytes(got.places), PLACE)] = np.frombuffer(bytes(got.numbers), VALUE) / STEPS
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return np.rint(x / max(float(np.sqrt((x * x).sum())), 1e-12) * STEPS) / STEPS
+
+
+def cluster(counts: DataFrame, scratch: Scratch, k: int = TOPICS, rounds: int = 25) -> Topics:
+    """Spherical k-means of all documents of a stored table ``(doc_id, places, numbers)`` of their counts, places weighted by how
+    few documents have them. The first centre is the document farthest from the mean, each further one the document farthest from
+    all before: equal input gives equal topics. Each step is a pass over a table of directions; the driver holds the centres only."""
+    counts = counts.select("doc_id", "places", "numbers")
+    df = _totals(counts, lambda x: np.append(np.bincount(x.place, minlength=PLACES), np.count_nonzero(x.sizes)), PLACES + 1)
+    topics = Topics(np.zeros((0, PLACES)), np.log((1 + df[-1]) / (1 + df[:-1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in Lists.of(*b.columns[1:]).blocks():
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(x.sizes)), *topics.directions(x).columns()], names=b.schema.names)
+
+    directions = scratch.keep(counts.mapInArrow(run, counts.schema), "directions")
+
+    def sums(t: Topics) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of the directions nearest to each centre, and how many these are."""
+        m = len(t.centres)
+
+        def add(x: Lists) -> np.ndarray:
+            rows, near = t.nearness(x)
+            at = np.zeros(len(x.sizes), np.int64)
+            at[rows] = np.argmax(near, axis=0)
+            total = np.bincount(np.repeat(at * PLACES, x.sizes) + x.place, x.value, m * PLACES)
+            return np.append(total.astype(np.int64), np.bincount(at[rows], minlength=m))
+
+        got = _totals(directions, add, m * (PLACES + 1))
+        return got[: m * PLACES].reshape(m, PLACES).astype(np.float64), got[m * PLACES :]
+
+    total, n = sums(Topics(np.zeros((1, PLACES)), topics.weights))  # of all documents
+    if n[0]:
+        near, chosen, most = Topics(_unit(total[0])[None], topics.weights), [], min(k, int(n[0]))
+        while len(chosen) < most:
+            chosen.append(_farthest(directions, near))
+            near = Topics(np.stack(chosen), topics.weights)
+        topics = near
+        for _ in range(rounds):
+            total, n = sums(topics)
+            new = np.stack([_unit(x) if m else c for x, m, c in zip(total, n, topics.centres)])
+            if np.array_equal(new, topics.centres):
+                break
+            topics = Topics(new, topics.weights)
+    scratch.drop(directions)
+    return topics
+
+
+def _counted(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """``rows``, whose last column is ``text``, with ``n_tokens``, ``places`` and ``numbers`` (of tokens at each) in place of it."""
+    names = [*rows.columns[:-1], "n_tokens", "places", "numbers"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
         for b in batches:
-            ids = [enc.encode(t) if t else [] for t in b.column(3).to_pylist()]
-            cols = [*b.columns[:3], pa.array(map(topics.of, ids), pa.string()), pa.array(map(len, ids), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "source", "lang", "topic", "n_tokens"])
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                ids = [enc.encode(t) if t else [] for t in part.columns[-1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(len, ids), pa.int64()), *_counts(ids).columns()], names=names)
+
+    more = [T.StructField("n_tokens", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("numbers", T.BinaryType())]
+    return spread(rows).mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *more]))
+
+
+def learn_topics(rows: DataFrame, folder: str, name: str, seed: int = 42, k: int = TOPICS, fit_docs: int | None = None) -> Topics:
+    """Topics of ``rows (doc_id, text)`` learned from all of them. A caller may ask for about ``fit_docs`` of them instead, drawn by
+    a hash of the id; no query does."""
+    some = rows.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if fit_docs is not None and (n := some.count()) > fit_docs:
+        some = some.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(fit_docs / n * (1 << 30)))
+    scratch = Scratch(rows.sparkSession, "topics")
+    counts = scratch.keep(_counted(some, folder, name), "counted")
+    topics = cluster(counts, scratch, k)
+    scratch.drop(counts)
+    return topics
+
+
+def _tell(topics: Topics):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = [_topic_name(j) for _, x in Lists.of(*b.columns[4:]).blocks() for j in topics.told(x).tolist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(told, pa.string()), b.column(3)], names=["doc_id", "source", "lang", "topic", "n_tokens"])
 
     return run
 
@@ -187,9 +353,9 @@ def rake(cells: list[tuple[str, str, str, float]], shares: dict[str, float], rep
 def sized(docs: DataFrame, scratch: Scratch, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``(doc_id, source, lang, topic, n_tokens)`` of each row with an id. Null sources and languages are ''."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.coalesce(source_key(F.col("source")), F.lit("")).alias("source"), F.coalesce(language_key(F.col("lang")), F.lit("")).alias("lang"), "text")
-    folder = folder or vocabulary_folder()
-    run = _sized_batches(folder, name, learn_topics(rows, folder, name))
-    return scratch.keep(spread(rows).mapInArrow(run, "doc_id BIGINT, source STRING, lang STRING, topic STRING, n_tokens BIGINT"), "sized")
+    counted = scratch.keep(_counted(rows, folder or vocabulary_folder(), name), "counted")
+    told = counted.mapInArrow(_tell(cluster(counted, scratch)), "doc_id BIGINT, source STRING, lang STRING, topic STRING, n_tokens BIGINT")
+    return scratch.keep(told, "sized", counted)
 
 
 def _systematic(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
